@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_quality, sharding
+from . import bpe, line_quality, near_dup, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_line_quality": line_quality.op2_line_quality,
+    "op3_near_dup": near_dup.op3_near_dup,
+    "op4_bpe": bpe.op4_bpe,
 }
 SQL = {"op2_line_quality": line_quality.SQL_OP2}
