@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, line_quality, near_dup, sharding
+from . import bpe, line_quality, near_dup, sharding, suffix_dedup, token_file
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_line_quality": line_quality.op2_line_quality,
     "op3_near_dup": near_dup.op3_near_dup,
     "op4_bpe": bpe.op4_bpe,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+    "op7_token_file": token_file.op7_token_file,
 }
 SQL = {"op2_line_quality": line_quality.SQL_OP2}
