@@ -16,7 +16,7 @@ A  Every `length`-byte string holds a minimizer, the smallest of the hashes of i
    different surroundings in different documents: edges of repeats.
 B  The surroundings of these are read from the texts, each bucket of them is a block,
    and its maximal repeats give the exact borders.
-C  Spans are joined to the texts and cut out.
+C  Spans meet their texts, in parts of bounded size, and are cut out.
 
 A copied text or passage is combined in its chunk before the shuffle: one entry a chunk
 and distinct surroundings, however many documents have it.
@@ -38,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, table
+from .common import materialize, table
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text for each bucket of minimizers, and surroundings in each block.
 BUCKET_BYTES, BLOCK_SURROUNDINGS = 4 << 20, 8_000
 #: Minimizers that a task packs at once, and bytes of text that it hashes at once.
-CHUNK, STEP = 2_000_000, 1 << 20
+CHUNK, STEP = 700_000, 1 << 18
+#: Bytes of text in one part of the documents when spans meet their texts, about.
+PART_BYTES = 6 << 20
 
 U = np.uint64
 MASK48 = U((1 << 48) - 1)
@@ -291,67 +293,129 @@ def _gather(buckets: int, length: int, gram: int):
     return gather
 
 
-PLACES = "doc_id bigint, fp bigint, pos bigint, anchor bigint"
+SPANS = "part int, open boolean, blob binary"
 
 
-def _meet(key: tuple, group: pa.Table) -> pa.Table:
-    """Of one bucket: places settled as repeats (anchor null), and those that need their bytes."""
-    parts = [unpack(b.as_py()) for b in group.column("blob")]
-    h, c, doc, fp, pos, done = (np.concatenate(x) for x in zip(*parts, strict=True))
-    done = done > 0
-    out = [(doc[done], fp[done], pos[done], np.zeros(done.sum(), np.int64), np.ones(done.sum(), bool))]
-    h, c, doc, fp, pos = (x[~done] for x in (h, c, doc, fp, pos))
-    order, same, settled = settle(h, c, doc)
-    h, c, doc, fp, pos = (x[order] for x in (h, c, doc, fp, pos))
-    out.append((doc[settled], fp[settled], pos[settled], np.zeros(settled.sum(), np.int64), np.ones(settled.sum(), bool)))
-    h, doc, fp, pos, same = (x[~settled] for x in (h, doc, fp, pos, same))
-    if len(h):
-        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        size = np.diff(np.r_[begin, len(h)])
-        several = (np.maximum.reduceat(same, begin) != np.minimum.reduceat(same, begin)) & (np.maximum.reduceat(doc, begin) != np.minimum.reduceat(doc, begin))
-        need = np.repeat(several, size)
-        anchor = (h[need] | U(key[0].as_py()) << U(48)).view(np.int64)
-        out.append((doc[need], fp[need], pos[need], anchor, np.zeros(need.sum(), bool)))
-    doc, fp, pos, anchor, none = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pa.table({"doc_id": doc, "fp": fp.astype(np.int64), "pos": pos, "anchor": pa.array(anchor, pa.int64(), mask=none)})
+def pack_spans(doc: np.ndarray, fp: np.ndarray, lo: np.ndarray, more: np.ndarray) -> bytes:
+    """more: the end of a span, or the number of its minimizer."""
+    order = np.lexsort((lo, doc))
+    doc, fp, lo, more = doc[order], fp[order].astype(np.uint64), lo[order].astype(np.uint64), more[order].view(np.uint64)
+    return struct.pack("<q", len(doc)) + _planes(_deltas(doc), 8) + _planes(fp, 4) + _planes(lo, 5) + _planes(more, 8)
+
+
+def unpack_spans(blobs: list[bytes]) -> list[np.ndarray]:
+    out = [[np.empty(0, np.int64)] for _ in range(4)]
+    for b in blobs:
+        (n,), at = struct.unpack_from("<q", b), 8
+        for k, width in enumerate((8, 4, 5, 8)):
+            x, at = _from_planes(b, at, n, width)
+            out[k].append(x.view(np.int64) if k else _undelta(x))
+    return [np.concatenate(x) for x in out]
+
+
+def _by_part(doc, fp, lo, more, parts: int, open_: bool) -> Iterator[tuple[int, bool, bytes]]:
+    part = doc % parts
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        mine = order[edges[k] : edges[k + 1]]
+        yield k, open_, pack_spans(doc[mine], fp[mine], lo[mine], more[mine])
+
+
+def _span_table(rows: list[tuple[int, bool, bytes]]) -> pa.Table:
+    part, open_, blob = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"part": pa.array(part, pa.int32()), "open": pa.array(open_, pa.bool_()), "blob": pa.array(blob, pa.binary())})
+
+
+def _meet(parts: int, length: int, gram: int):
+    reach = length - gram
+
+    def meet(key: tuple, group: pa.Table) -> pa.Table:
+        """Of one bucket: spans settled as repeats, and open places that need their bytes."""
+        unpacked = [unpack(b.as_py()) for b in group.column("blob")]
+        h, c, doc, fp, pos, done = (np.concatenate(x) for x in zip(*unpacked, strict=True))
+        done = done > 0
+        early = doc[done], fp[done], pos[done]
+        h, c, doc, fp, pos = (x[~done] for x in (h, c, doc, fp, pos))
+        order, same, settled = settle(h, c, doc)
+        h, doc, fp, pos = (x[order] for x in (h, doc, fp, pos))
+        d, f, p = (np.concatenate([x, y[settled]]) for x, y in zip(early, (doc, fp, pos), strict=True))
+        rows = list(_by_part(d, f, np.maximum(p - reach, 0), p + gram + reach, parts, False))
+        h, doc, fp, pos, same = (x[~settled] for x in (h, doc, fp, pos, same))
+        if len(h):
+            begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            size = np.diff(np.r_[begin, len(h)])
+            several = (np.maximum.reduceat(same, begin) != np.minimum.reduceat(same, begin)) & (np.maximum.reduceat(doc, begin) != np.minimum.reduceat(doc, begin))
+            need = np.repeat(several, size)
+            anchor = (h[need] | U(key[0].as_py()) << U(48)).view(np.int64)
+            rows += _by_part(doc[need], fp[need], pos[need], anchor, parts, True)
+        return _span_table(rows)
+
+    return meet
 
 
 # ---------------------------------------------------------------- B: surroundings
 
 
+class Texts:
+    """The rows of one part of the documents, found by doc_id and fp."""
+
+    def __init__(self, docs: pa.Table):
+        self.at: dict[tuple, list[int]] = {}
+        for k, key in enumerate(zip(docs.column("doc_id").to_pylist(), docs.column("fp").to_pylist(), strict=True)):
+            self.at.setdefault(key, []).append(k)
+        self.texts = docs.column("text").cast(pa.binary())
+
+    def __getitem__(self, k: int) -> bytes | None:
+        return self.texts[k].as_py()
+
+
+SURROUNDINGS = "block int, doc_id array<bigint>, fp array<bigint>, lo array<bigint>, body array<binary>"
+
+
+def _runs(doc: np.ndarray, fp: np.ndarray) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """((doc_id, fp), places in the arrays) of each different pair."""
+    order = np.lexsort((fp, doc))
+    d, f = doc[order], fp[order]
+    edges = np.r_[np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (f[1:] != f[:-1])]), len(d)] if len(d) else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield (int(d[a]), int(f[a])), order[a:b]
+
+
 def _cut_surroundings(blocks: int, length: int, gram: int):
     reach = length - gram
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for k in range(0, big.num_rows, 200):
-                block, ids, fps, los, body = [], [], [], [], []
-                part = big.slice(k, 200)
-                cols = [part.column(i).to_pylist() for i in range(2)] + [part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist()]
-                for i, f, t, places, anchors in zip(*cols, strict=True):
-                    for p, a in zip(places, anchors, strict=True):
-                        lo = max(0, p - reach)
-                        block.append((a ^ a >> 20) % blocks), ids.append(i), fps.append(f), los.append(lo)
-                        body.append(t[lo : p + gram + reach])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block, pa.int32()), pa.array(ids, pa.int64()), pa.array(fps, pa.int64()), pa.array(los, pa.int64()), pa.array(body, pa.binary())],
-                    ["block", "doc_id", "fp", "lo", "body"],
-                )
+    def cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
+        doc, fp, pos, anchor = unpack_spans(spans.column("blob").to_pylist())
+        block = (anchor ^ anchor >> 20) % blocks
+        texts = Texts(docs)
+        out: dict[int, tuple[list, list, list, list]] = {}
+        for key, mine in _runs(doc, fp):
+            t = texts[texts.at[key][0]]
+            for b, p in zip(block[mine].tolist(), pos[mine].tolist(), strict=True):
+                lo = max(0, p - reach)
+                ids, fps, los, body = out.setdefault(b, ([], [], [], []))
+                ids.append(key[0]), fps.append(key[1]), los.append(lo), body.append(t[lo : p + gram + reach])
+        cols = list(zip(*out.values(), strict=True)) or [(), (), (), ()]
+        kinds = [pa.list_(pa.int64())] * 3 + [pa.list_(pa.binary())]
+        return pa.table({"block": pa.array(list(out), pa.int32())} | {n: pa.array(x, k) for n, x, k in zip(("doc_id", "fp", "lo", "body"), cols, kinds, strict=True)})
 
     return cut
 
 
-def _borders(length: int):
-    def borders(key: tuple, group: pa.Table) -> pa.Table:
-        ids, fps, los = (group.column(c).to_numpy() for c in ("doc_id", "fp", "lo"))
-        out = []
-        for size, which, offset in repeat_groups(group.column("body").to_pylist(), length):
+def _borders(parts: int, length: int):
+    def borders(group: pa.Table) -> pa.Table:
+        ids, fps, los = (np.concatenate([x.values.to_numpy() for x in group.column(c)]) for c in ("doc_id", "fp", "lo"))
+        bodies = [b for x in group.column("body") for b in x.as_py()]
+        out = [[np.empty(0, np.int64)] for _ in range(4)]
+        for size, which, offset in repeat_groups(bodies, length):
             later = ids[which] > ids[which].min()
             if later.any():
                 w, start = which[later], los[which[later]] + offset[later]
-                out.append((ids[w], fps[w], start, start + size))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
-        return pa.table(dict(zip(("doc_id", "fp", "lo", "hi"), cols, strict=True)))
+                for held, x in zip(out, (ids[w], fps[w], start, start + size), strict=True):
+                    held.append(x)
+        doc, fp, lo, hi = (np.concatenate(x) for x in out)
+        return _span_table(list(_by_part(doc, fp, lo, hi, parts, False)))
 
     return borders
 
@@ -362,60 +426,67 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs has doc_id, fp and text; result: (doc_id, fp, spans array<bigint>), the byte
-    spans of each row whose strings also start in smaller doc_ids, as start << 20 | size
-    (unsorted, they may overlap)."""
+def _prime(n: int) -> int:
+    """The next prime: numbers modulo it spread whatever steps the ids have."""
+    n |= 1
+    while any(n % k == 0 for k in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
+
+
+def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[int, DataFrame]:
+    """docs has doc_id, fp and text; result: (parts, SPANS): blobs of the byte spans whose
+    strings also start in smaller doc_ids, of the documents with doc_id % parts = part."""
     spark = docs.sparkSession
-    reach = length - gram
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(1 << 16, max(64, total // BUCKET_BYTES))
-    gathered = docs.mapInArrow(_gather(buckets, length, gram), "bucket int, blob binary")
-    places = materialize(gathered.groupBy("bucket").applyInArrow(_meet, PLACES), "repeat-places")
+    parts = _prime(max(64, total // PART_BYTES))
+    gathered = docs.select("doc_id", "fp", "text").mapInArrow(_gather(buckets, length, gram), "bucket int, blob binary")
+    found = materialize(gathered.groupBy("bucket").applyInArrow(_meet(parts, length, gram), SPANS), "repeat-places")
     _release(spark)
-    wanted = places.filter("anchor is not null")
-    blocks = int(max(64, wanted.count() // BLOCK_SURROUNDINGS))
-    per_doc = wanted.groupBy("doc_id", "fp").agg(F.collect_list("pos").alias("places"), F.collect_list("anchor").alias("anchors"))
-    around = docs.join(per_doc, ["doc_id", "fp"]).select("doc_id", "fp", "text", "places", "anchors")
-    cut = around.mapInArrow(_cut_surroundings(blocks, length, gram), "block int, doc_id bigint, fp bigint, lo bigint, body binary")
-    fine = materialize(cut.groupBy("block").applyInArrow(_borders(length), "doc_id bigint, fp bigint, lo bigint, hi bigint").distinct(), "repeat-borders")
+    wanted = found.filter("open")
+    entry = 25  # bytes of a packed place
+    blocks = int(max(64, (wanted.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // (entry * BLOCK_SURROUNDINGS)))
+    with_part = docs.select(_part(parts).alias("part"), "doc_id", "fp", "text").filter("text <> ''")
+    cut = with_part.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_cut_surroundings(blocks, length, gram), SURROUNDINGS)
+    fine = materialize(cut.groupBy("block").applyInArrow(_borders(parts, length), SPANS), "repeat-borders")
     _release(spark)
-    coarse = places.filter("anchor is null").select("doc_id", "fp", F.greatest(F.col("pos") - reach, F.lit(0)).alias("lo"), (F.col("pos") + gram + reach).alias("hi"))
-    spans = coarse.union(fine).select("doc_id", "fp", (F.shiftleft(F.col("lo"), 20) + F.col("hi") - F.col("lo")).alias("s"))
-    return spans.groupBy("doc_id", "fp").agg(F.collect_list("s").alias("spans"))
+    return parts, found.filter("not open").union(fine)
+
+
+def _part(parts: int):
+    return F.coalesce(F.pmod("doc_id", F.lit(parts)), F.lit(0)).cast("int")
 
 
-def merge_spans(spans: np.ndarray, size: int) -> np.ndarray:
-    """Maximal runs (start, end) of a text of `size` bytes; spans as start << 20 | size."""
-    spans = np.sort(spans)
-    lo, hi = spans >> 20, np.minimum((spans >> 20) + (spans & 0xFFFFF), size)
+def merge_spans(lo: np.ndarray, hi: np.ndarray, size: int) -> np.ndarray:
+    """Maximal runs (start, end) of a text of `size` bytes."""
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.minimum(hi[order], size)
     reach = np.maximum.accumulate(hi)
     new = np.r_[True, lo[1:] > reach[:-1]]
     return np.stack([lo[new], np.r_[reach[:-1][new[1:]], reach[-1]]], axis=1)
 
 
-def _remover(with_text: bool):
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for k in range(0, big.num_rows, 200):
-                part = big.slice(k, 200)
-                out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
-                for t, spans in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("spans").to_pylist(), strict=True):
-                    body, kept, gone, runs = t or b"", t, 0, []
-                    if spans and body:
-                        runs = merge_spans(np.array(spans, np.int64), len(body)).tolist()
-                        gone = sum(hi - lo for lo, hi in runs)
-                        kept = _without(body, runs)
-                    out["n_bytes"].append(len(body)), out["n_removed"].append(gone), out["n_spans"].append(len(runs))
-                    out["kept_sha256"].append(hashlib.sha256(kept or b"").hexdigest())
-                    if with_text:
-                        out["kept_text"].append(_without(body, [_whole_chars(body, *r) for r in runs]).decode("utf-8", "replace") if t is not None else None)
-                cols = {n: part.column(n) for n in part.schema.names if n not in ("text", "spans", "fp")}
-                cols |= {n: pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")}
-                cols["kept_sha256"] = pa.array(out["kept_sha256"], pa.string())
-                if with_text:
-                    cols["kept_text"] = pa.array(out["kept_text"], pa.string())
-                yield pa.RecordBatch.from_pydict(cols)
+def _remover(kept_columns: list[str] | None):
+    def remove(docs: pa.Table, spans: pa.Table) -> pa.Table:
+        doc, fp, lo, hi = unpack_spans(spans.column("blob").to_pylist())
+        texts = Texts(docs)
+        cut = {k: merge_spans(lo[m], hi[m], len(texts[i])).tolist() for key, m in _runs(doc, fp) for i in texts.at[key][:1] for k in texts.at[key]}
+        out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
+        for k in range(docs.num_rows):
+            t, runs = texts[k], cut.get(k, [])
+            body = t or b""
+            out["n_bytes"].append(len(body)), out["n_spans"].append(len(runs)), out["n_removed"].append(sum(b - a for a, b in runs))
+            out["kept_sha256"].append(hashlib.sha256(_without(body, runs)).hexdigest())
+            if kept_columns is not None:
+                whole = [_whole_chars(body, a, b) for a, b in runs]
+                out["kept_text"].append(_without(body, whole).decode("utf-8", "replace") if t is not None else None)
+        cols = {n: docs.column(n) for n in ("doc_id", *(kept_columns or []))}
+        cols |= {n: pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")}
+        cols["kept_sha256"] = pa.array(out["kept_sha256"], pa.string())
+        if kept_columns is not None:
+            cols["kept_text"] = pa.array(out["kept_text"], pa.string())
+        return pa.table(cols)
 
     return remove
 
@@ -443,13 +514,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None
     others = {f"__k{i}": F.col(c) for i, c in enumerate(keep or [])}
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[c.alias(n) for n, c in others.items()])
     base = base.withColumn("fp", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    spans = repeat_spans(base.select("doc_id", "fp", "text"), length)
-    joined = base.join(spans, ["doc_id", "fp"], "left")
-    extra = "".join(f", {n} {joined.schema[n].dataType.simpleString()}" for n in others)
-    result = joined.mapInArrow(
-        _remover(keep is not None), f"doc_id bigint{extra}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if keep is not None else "")
+    parts, spans = repeat_spans(base, length)
+    extra = "".join(f", {n} {base.schema[n].dataType.simpleString()}" for n in others)
+    result = (
+        base.withColumn("part", _part(parts))
+        .groupBy("part")
+        .cogroup(spans.groupBy("part"))
+        .applyInArrow(
+            _remover(list(others) if keep is not None else None),
+            f"doc_id bigint{extra}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if keep is not None else ""),
+        )
     )
-    return result.withColumnsRenamed({f"__k{i}": c for i, c in enumerate(keep or [])}) if keep else result
+    return result.withColumnsRenamed({f"__k{i}": c for i, c in enumerate(keep or [])})
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
