@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_quality, near_dup, sharding, suffix_dedup, token_file, toxicity
+from . import bpe, fingerprint, line_quality, near_dup, sharding, suffix_dedup, token_file, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe": bpe.op4_bpe,
     "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_token_file": token_file.op7_token_file,
+    "op8_fingerprint": fingerprint.op8_fingerprint,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {"op2_line_quality": line_quality.SQL_OP2}
