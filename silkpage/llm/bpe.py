@@ -26,7 +26,7 @@ import mmap
 import struct
 import tempfile
 import unicodedata
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,8 +40,8 @@ from .common import table
 LEXICON = 65_536
 #: Counters of one Misra-Gries summary; its counts are low by at most words / COUNTERS.
 COUNTERS = 4 * LEXICON
-#: Remembered pieces of one Python worker; full, it starts anew.
-MEMORY = 250_000
+#: Remembered pieces of one Python worker; beyond, those of the last RECENT batches stay.
+MEMORY, RECENT = 500_000, 6
 #: Unicode white space, and how the vocabulary's file splits words.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -96,21 +96,29 @@ class Vocabulary:
                 pairs[i] = get(ids[i] << 32 | ids[i + 1], none)
         return ids
 
-    def words(self, piece: str) -> list[bytes | int]:
-        """The words of a piece as UTF-8, special tokens as their ids."""
-        if piece.isascii() and "<|" not in piece:
-            return [w.encode() for w in self.find(piece.lower())]
-        out: list[bytes | int] = []
+    def words(self, piece: str) -> list[str | int]:
+        """The words of a piece, special tokens as their ids."""
+        if piece.isascii():
+            if piece.isalpha():
+                return [piece.lower()]
+            if piece[:-1].isalpha() and not piece[-1].isdigit():
+                return [piece[:-1].lower(), piece[-1]]
+            if "<|" not in piece:
+                return self.find(piece.lower())
+        out: list[str | int] = []
         at = 0
-        for m in self.cut.finditer(piece) if self.cut else ():
+        for m in self.cut.finditer(piece) if self.cut and "<|" in piece else ():
             out += self._plain(piece[at : m.start()])
             out.append(self.special[m[0]])
             at = m.end()
-        return out + self._plain(piece[at:])
+        return out + self._plain(piece[at:] if at else piece)
 
-    def _plain(self, s: str) -> list[bytes]:
-        low = "".join([c.lower() for c in unicodedata.normalize("NFC", s)])
-        return [w.encode("utf-8", "surrogatepass") for w in self.find(low)]
+    def _plain(self, s: str) -> list[str]:
+        if not unicodedata.is_normalized("NFC", s):
+            s = unicodedata.normalize("NFC", s)
+        # str.lower() looks around a capital sigma; the vocabulary's rules take each character alone.
+        low = "".join([c.lower() for c in s]) if "\u03a3" in s else s.lower()
+        return [low] if low.isalpha() else self.find(low)
 
 
 class Transducer:
@@ -239,13 +247,16 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary, lexicon: Transducer):
         self.v, self.lexicon = vocabulary, lexicon
 
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of different words: walked through the automaton together, or merged."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        return [self.lexicon.output(n) if n >= 0 else self.v.merge(w) for w, n in zip(raw, self.lexicon.numbers(raw).tolist(), strict=True)]
+
     def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
         split = [self.v.words(p) for p in pieces]
-        distinct = list({w for ws in split for w in ws if isinstance(w, bytes)})
-        found: dict[bytes, list[int]] = {}
-        for w, n in zip(distinct, self.lexicon.numbers(distinct).tolist(), strict=True):
-            found[w] = self.lexicon.output(n) if n >= 0 else self.v.merge(w)
-        return [[i for w in ws for i in (found[w] if isinstance(w, bytes) else (w,))] for ws in split]
+        distinct = list({w for ws in split for w in ws if isinstance(w, str)})
+        found = dict(zip(distinct, self.encode_words(distinct), strict=True))
+        return [[i for w in ws for i in (found[w] if isinstance(w, str) else (w,))] for ws in split]
 
     def encode(self, text: str | None) -> list[int]:
         return [i for ids in self.encode_pieces(pieces_of(text or "")) for i in ids]
@@ -267,8 +278,8 @@ def _count_words(vocab):
         words: Counter = Counter()
         for piece, n in _thin(seen).items():
             for w in v.words(piece):
-                if isinstance(w, bytes):
-                    words[w] += n
+                if isinstance(w, str):
+                    words[w.encode("utf-8", "surrogatepass")] += n
         top = heapq.nlargest(LEXICON, words.items(), key=lambda x: (x[1], x[0]))
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
@@ -294,22 +305,37 @@ def build_lexicon(docs: DataFrame, vocab, text: str = "text", size: int = LEXICO
 def _coder(vocab, lexicon, with_ids: bool):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(Vocabulary(vocab.value), in_memory_map(lexicon.value))
-        tokens = codec.v.tokens
+        tokens, number = codec.v.tokens, {i: str(i) for i in codec.v.tokens}
         as_ids: dict[str, str] = {}
         as_text: dict[str, str] = {}
+        word_ids: dict[str | int, str] = {i: number[i] for i in codec.v.special.values()}
+        word_text: dict[str | int, str] = {i: tokens[i] for i in codec.v.special.values()}
+
+        recent: deque[set[str]] = deque(maxlen=RECENT)
 
         def learn(texts: list[list[str]]) -> None:
-            new = list({p for ps in texts for p in ps if p not in as_ids})
-            for p, ids in zip(new, codec.encode_pieces(new), strict=True):
-                as_ids[p] = " ".join(map(str, ids))
-                as_text[p] = " ".join([tokens[i] for i in ids])  # decoding goes token by token
+            recent.append(set().union(*texts))
+            new = {p: codec.v.words(p) for p in recent[-1] if p not in as_ids}
+            unknown = list({w for ws in new.values() for w in ws if w not in word_ids})
+            for w, ids in zip(unknown, codec.encode_words(unknown), strict=True):
+                word_ids[w] = " ".join([number[i] for i in ids])
+                word_text[w] = " ".join([tokens[i] for i in ids])  # decoding goes token by token
+            for p, ws in new.items():
+                if len(ws) == 1:
+                    as_ids[p], as_text[p] = word_ids[ws[0]], word_text[ws[0]]
+                else:
+                    as_ids[p], as_text[p] = " ".join([word_ids[w] for w in ws]), " ".join([word_text[w] for w in ws])
 
         for big in batches:
             for at in range(0, big.num_rows, 250):
                 part = big.slice(at, 250)
                 texts = [pieces_of(t or "") for t in part.column(1).to_pylist()]
                 if len(as_ids) > MEMORY:
-                    as_ids.clear(), as_text.clear()
+                    stay = set().union(*recent)
+                    as_ids = {p: as_ids[p] for p in stay}
+                    as_text = {p: as_text[p] for p in stay}
+                    word_ids = {i: number[i] for i in codec.v.special.values()}
+                    word_text = {i: tokens[i] for i in codec.v.special.values()}
                 learn(texts)
                 n, ids_sha, text_sha, ids_out, text_out = [], [], [], [], []
                 for ps in texts:

@@ -23,9 +23,9 @@ empty result.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +39,8 @@ from .common import materialize, table
 BLOCK, PERCENTILE = 128, 90
 #: Ids of one segment, about: it ends with the document that reaches this.
 SEGMENT = 1 << 19
-#: Remembered pieces of one Python worker; full, it starts anew.
-MEMORY = 300_000
+#: Remembered pieces of one Python worker; beyond, those of the last RECENT batches stay.
+MEMORY, RECENT = 800_000, 8
 END_ID = 1
 MAGIC = b"PFR1"
 
@@ -154,41 +154,48 @@ class Segment:
 
 
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library, asked once for each piece between
-    white space: the vocabulary's rules never join pieces (see bpe.py)."""
+    """Ids of whole texts by the tokenizers library's model, asked once for each word.
+
+    Texts are cut at white space and into words as the vocabulary's rules do (bpe.py);
+    the model merges each word. Tests hold the ids against the library on whole texts."""
 
     def __init__(self, body: str):
         from tokenizers import Tokenizer
 
-        from .bpe import pieces_of
+        from .bpe import Vocabulary, byte_symbols, pieces_of
 
-        self.t = Tokenizer.from_str(body)
-        self.t.no_truncation(), self.t.no_padding()
         self.pieces_of = pieces_of
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.t.get_added_tokens_decoder().values()))
-        self.mark, self.mark_id = next((t.content, i) for i, t in self.t.get_added_tokens_decoder().items())
+        self.split = Vocabulary(body).words
+        self.merge = Tokenizer.from_str(body).model.tokenize
+        self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
         self.known: dict[str, bytes] = {}
+        self.words: dict[str | int, bytes] = {}
+        self.recent: deque[set[str]] = deque(maxlen=RECENT)
+
+    def _word(self, w: str | int) -> bytes:
+        if isinstance(w, int):
+            ids = [w]
+        else:
+            shown = w if w.isascii() and w.isalpha() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
+            ids = [t.id for t in self.merge(shown)]
+        got = self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
 
     def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if not self.special.search(p)]
-        for p in set(new).difference(plain):
-            self.known[p] = np.array(self.t.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        for at in range(0, len(plain), 2000):  # one call for many pieces, with a special token between
-            part = plain[at : at + 2000]
-            ids = np.array(self.t.encode(self.mark.join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.r_[np.flatnonzero(ids == self.mark_id), len(ids)]
-            body, first = ids.tobytes(), 0
-            for p, end in zip(part, ends.tolist(), strict=True):
-                self.known[p] = body[4 * first : 4 * end]
-                first = end + 1
+        get, known = self.words.get, self.known
+        for p in new:
+            ws = self.split(p)
+            known[p] = (get(ws[0]) or self._word(ws[0])) if len(ws) == 1 else b"".join([get(w) or self._word(w) for w in ws])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         pieces = [self.pieces_of(t) if t else [] for t in texts]
         if len(self.known) > MEMORY:
-            self.known.clear()
+            self.known = {p: self.known[p] for p in set().union(*self.recent)}
+            self.words = {}
         known = self.known
-        self._learn(list({p for ps in pieces for p in ps if p not in known}))
+        self.recent.append(set().union(*pieces))
+        self._learn([p for p in self.recent[-1] if p not in known])
         return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
 
 
