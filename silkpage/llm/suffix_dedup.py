@@ -281,7 +281,8 @@ def _gather(buckets: int, length: int, gram: int):
             first, end = (last - sizes)[who], last[who]
             lo, hi = np.maximum(p - reach, first), np.minimum(p + gram + reach, end)
             c = _mix(hasher.of(lo, hi) + (p - lo).astype(np.uint64) * U(257) + (hi - p).astype(np.uint64)) & MASK48
-            held.append((hasher.of(p, p + gram), c, np.array(ids, np.int64)[who], np.array(fps, np.int64).view(np.uint64)[who] & U(0xFFFFFFFF), p - first))
+            h = _mix(hasher.of(p, p + gram) + U(MULTIPLIER))  # anew: minimizers are the small hashes
+            held.append((h, c, np.array(ids, np.int64)[who], np.array(fps, np.int64).view(np.uint64)[who] & U(0xFFFFFFFF), p - first))
             size += len(p)
             if size >= CHUNK:
                 yield from chunk()
