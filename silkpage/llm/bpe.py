@@ -345,7 +345,7 @@ def _coder(vocab, lexicon, with_ids: bool):
                     ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
                     text_sha.append(hashlib.sha256(back.encode()).hexdigest())
                     if with_ids:
-                        ids_out.append([int(i) for i in ids.split()])
+                        ids_out.append(np.fromstring(ids, np.int32, sep=" "))
                         text_out.append(back)
                 columns = {"doc_id": part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
                 if with_ids:
