@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from silkpage.plans import pages, rules
+
+QUERIES: dict = pages.QUERIES | rules.QUERIES
+SQL: dict = pages.SQL | rules.SQL
