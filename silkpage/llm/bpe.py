@@ -46,7 +46,7 @@ MEMORY, RECENT = 500_000, 6
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 #: Python takes these for white space, the vocabulary's rules don't.
-NOT_SPACE = regex.compile("[\x1c-\x1f]")
+NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def byte_symbols() -> list[str]:
@@ -236,7 +236,7 @@ def in_memory_map(blob: bytes) -> Transducer:
 
 def pieces_of(text: str) -> list[str]:
     """The pieces between white space."""
-    if NOT_SPACE.search(text):
+    if any(c in text for c in NOT_SPACE):
         return regex.findall(rf"[^{SPACE}]+", text)
     return text.split()
 

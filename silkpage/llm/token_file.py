@@ -23,9 +23,9 @@ empty result.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +39,8 @@ from .common import materialize, table
 BLOCK, PERCENTILE = 128, 90
 #: Ids of one segment, about: it ends with the document that reaches this.
 SEGMENT = 1 << 19
-#: Remembered pieces of one Python worker; beyond, those of the last RECENT batches stay.
-MEMORY, RECENT = 800_000, 8
+#: Pieces that one Python worker remembers: those met in several batches, and new ones.
+KNOWN, YOUNG = 400_000, 300_000
 END_ID = 1
 MAGIC = b"PFR1"
 
@@ -154,10 +154,12 @@ class Segment:
 
 
 class PieceEncoder:
-    """Ids of whole texts by the tokenizers library's model, asked once for each word.
+    """Ids of whole texts by the tokenizers library, asked for each new word.
 
-    Texts are cut at white space and into words as the vocabulary's rules do (bpe.py);
-    the model merges each word. Tests hold the ids against the library on whole texts."""
+    Texts are cut at white space and into words as the vocabulary's rules do (bpe.py),
+    written in byte symbols, and the library merges all new words of a batch in one call:
+    its tokens end a word where they have the word-end mark. Tests hold the ids against
+    the library on whole texts."""
 
     def __init__(self, body: str):
         from tokenizers import Tokenizer
@@ -165,38 +167,61 @@ class PieceEncoder:
         from .bpe import Vocabulary, byte_symbols, pieces_of
 
         self.pieces_of = pieces_of
-        self.split = Vocabulary(body).words
-        self.merge = Tokenizer.from_str(body).model.tokenize
-        self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
+        vocabulary = Vocabulary(body)
+        self.split = vocabulary.words
+        spec = json.loads(body)
+        ends = np.zeros(max(vocabulary.tokens) + 1, bool)
+        ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        self.ends = ends
+        # The same model over words in byte symbols: no rules before it but white space.
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "truncation": None, "padding": None}
+        self.model = Tokenizer.from_str(json.dumps(spec))
+        self.symbols = str.maketrans({k: c for k, c in enumerate(byte_symbols()) if k != 32})
         self.known: dict[str, bytes] = {}
-        self.words: dict[str | int, bytes] = {}
-        self.recent: deque[set[str]] = deque(maxlen=RECENT)
-
-    def _word(self, w: str | int) -> bytes:
-        if isinstance(w, int):
-            ids = [w]
-        else:
-            shown = w if w.isascii() and w.isalpha() else w.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
-            ids = [t.id for t in self.merge(shown)]
-        got = self.words[w] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
-
-    def _learn(self, new: list[str]) -> None:
-        get, known = self.words.get, self.known
-        for p in new:
-            ws = self.split(p)
-            known[p] = (get(ws[0]) or self._word(ws[0])) if len(ws) == 1 else b"".join([get(w) or self._word(w) for w in ws])
+        self.young: dict[str, bytes] = {}
+
+    def _merge(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of different words."""
+        if not words:
+            return {}
+        shown = " ".join(words).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
+        ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        body = ids.tobytes()
+        return {w: body[a:b] for w, a, b in zip(words, [0, *stops[:-1]], stops, strict=True)}
+
+    def _batch(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of different pieces. A piece that is met again in a later batch moves to
+        the known ones; new ones are forgotten together."""
+        known, young = self.known, self.young
+        out, new = {}, {}
+        for p in pieces:
+            got = known.get(p)
+            if got is None:
+                got = young.get(p)
+                if got is None:
+                    new[p] = self.split(p)
+                    continue
+                known[p] = got
+            out[p] = got
+        words = {w for ws in new.values() for w in ws}
+        found: dict[str | int, bytes] = {w: struct.pack("<I", w) for w in words if isinstance(w, int)}
+        found |= {w: got for w in words if (got := known.get(w) or young.get(w))}
+        found |= self._merge([w for w in words if w not in found])
+        for p, ws in new.items():
+            out[p] = young[p] = found[ws[0]] if len(ws) == 1 else b"".join([found[w] for w in ws])
+        known.update({w: b for w, b in found.items() if isinstance(w, str) and len(w) < 3})  # marks stand in many pieces
+        if len(known) > KNOWN:  # what is met again comes back
+            self.known, self.young = {}, known
+        elif len(young) > YOUNG:
+            self.young = {}
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         pieces = [self.pieces_of(t) if t else [] for t in texts]
-        if len(self.known) > MEMORY:
-            self.known = {p: self.known[p] for p in set().union(*self.recent)}
-            self.words = {}
-        known = self.known
-        self.recent.append(set().union(*pieces))
-        self._learn([p for p in self.recent[-1] if p not in known])
-        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
+        find = self._batch(set().union(*pieces)).__getitem__
+        return [b"".join(map(find, ps)) for ps in pieces]
 
 
 TOKEN_TABLE = "part int, number int, first bigint, n_tokens bigint, doc_ids array<bigint>, lengths array<bigint>, segment binary"
@@ -220,8 +245,8 @@ def _writer(vocab, end_id: int):
 
         size = 0
         for big in batches:
-            for at in range(0, big.num_rows, 250):
-                batch = big.slice(at, 250)
+            for at in range(0, big.num_rows, 1000):
+                batch = big.slice(at, 1000)
                 for doc_id, body in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                     ids.append(doc_id), lengths.append(len(body) // 4 + 1), bodies.append(body + end)
                     size += lengths[-1]
