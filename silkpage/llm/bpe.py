@@ -26,7 +26,7 @@ import mmap
 import struct
 import tempfile
 import unicodedata
-from collections import Counter, deque
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,13 +35,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop_table, materialize, table
 
 LEXICON = 65_536
 #: Counters of one Misra-Gries summary; its counts are low by at most words / COUNTERS.
 COUNTERS = 4 * LEXICON
-#: Remembered pieces of one Python worker; beyond, those of the last RECENT batches stay.
-MEMORY, RECENT = 500_000, 6
+#: Pieces that one Python worker remembers: those met in several batches, and new ones.
+KNOWN, YOUNG = 250_000, 200_000
 #: Unicode white space, and how the vocabulary's file splits words.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -297,7 +297,16 @@ def _thin(seen: Counter) -> Counter:
 def build_lexicon(docs: DataFrame, vocab, text: str = "text", size: int = LEXICON) -> bytes:
     """The automaton of the most frequent words of all docs; `size` bounds what the driver gets."""
     counted = docs.select(F.col(text).cast("string")).mapInArrow(_count_words(vocab), "word binary, n bigint")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    counted = materialize(counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("grade", F.floor(F.log2("n") * 16)), "word-counts", keep=False)
+    # The lowest grade of frequency above which there are no more than `size` words: a few hundred grades.
+    total, least = 0, None
+    for r in counted.groupBy("grade").count().orderBy(F.desc("grade")).collect():
+        total += r["count"]
+        if total > size:
+            break
+        least = r.grade
+    top = counted.filter(F.col("grade") >= least).select("word").collect() if least is not None else []
+    drop_table(counted)
     v = Vocabulary(vocab.value)
     return Transducer.compile((w, v.merge(w)) for w in sorted(bytes(r.word) for r in top))
 
@@ -306,37 +315,50 @@ def _coder(vocab, lexicon, with_ids: bool):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(Vocabulary(vocab.value), in_memory_map(lexicon.value))
         tokens, number = codec.v.tokens, {i: str(i) for i in codec.v.tokens}
-        as_ids: dict[str, str] = {}
-        as_text: dict[str, str] = {}
-        word_ids: dict[str | int, str] = {i: number[i] for i in codec.v.special.values()}
-        word_text: dict[str | int, str] = {i: tokens[i] for i in codec.v.special.values()}
-
-        recent: deque[set[str]] = deque(maxlen=RECENT)
-
-        def learn(texts: list[list[str]]) -> None:
-            recent.append(set().union(*texts))
-            new = {p: codec.v.words(p) for p in recent[-1] if p not in as_ids}
-            unknown = list({w for ws in new.values() for w in ws if w not in word_ids})
-            for w, ids in zip(unknown, codec.encode_words(unknown), strict=True):
-                word_ids[w] = " ".join([number[i] for i in ids])
-                word_text[w] = " ".join([tokens[i] for i in ids])  # decoding goes token by token
+        known: dict[str, tuple[str, str]] = {}  # (ids, decoded) of pieces met in several batches
+        young: dict[str, tuple[str, str]] = {}  # of new ones
+
+        def shown(ids: list[int]) -> tuple[str, str]:
+            return " ".join([number[i] for i in ids]), " ".join([tokens[i] for i in ids])  # decoding goes token by token
+
+        def learn(pieces: set[str]) -> tuple[dict[str, str], dict[str, str]]:
+            """Ids and decoded text of different pieces."""
+            nonlocal known, young
+            as_ids, as_text, new = {}, {}, {}
+            for p in pieces:
+                got = known.get(p)
+                if got is None:
+                    got = young.get(p)
+                    if got is None:
+                        new[p] = codec.v.words(p)
+                        continue
+                    known[p] = got
+                as_ids[p], as_text[p] = got
+            words = {w for ws in new.values() for w in ws}
+            found = {w: shown([w]) for w in words if isinstance(w, int)}
+            found |= {w: got for w in words if (got := known.get(w) or young.get(w))}
+            rest = [w for w in words if w not in found]
+            for w, ids in zip(rest, codec.encode_words(rest), strict=True):
+                found[w] = shown(ids)
             for p, ws in new.items():
                 if len(ws) == 1:
-                    as_ids[p], as_text[p] = word_ids[ws[0]], word_text[ws[0]]
+                    got = found[ws[0]]
                 else:
-                    as_ids[p], as_text[p] = " ".join([word_ids[w] for w in ws]), " ".join([word_text[w] for w in ws])
+                    got = " ".join([found[w][0] for w in ws]), " ".join([found[w][1] for w in ws])
+                young[p] = got
+                as_ids[p], as_text[p] = got
+            known.update({w: x for w, x in found.items() if isinstance(w, str) and len(w) < 3})  # marks stand in many pieces
+            if len(known) > KNOWN:  # what is met again comes back
+                known, young = {}, known
+            elif len(young) > YOUNG:
+                young = {}
+            return as_ids, as_text
 
         for big in batches:
-            for at in range(0, big.num_rows, 250):
-                part = big.slice(at, 250)
+            for at in range(0, big.num_rows, 1000):
+                part = big.slice(at, 1000)
                 texts = [pieces_of(t or "") for t in part.column(1).to_pylist()]
-                if len(as_ids) > MEMORY:
-                    stay = set().union(*recent)
-                    as_ids = {p: as_ids[p] for p in stay}
-                    as_text = {p: as_text[p] for p in stay}
-                    word_ids = {i: number[i] for i in codec.v.special.values()}
-                    word_text = {i: tokens[i] for i in codec.v.special.values()}
-                learn(texts)
+                as_ids, as_text = learn(set().union(*texts))
                 n, ids_sha, text_sha, ids_out, text_out = [], [], [], [], []
                 for ps in texts:
                     ids = " ".join(map(as_ids.__getitem__, ps))

@@ -128,7 +128,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, text: str = "text", negatives: int = NEGATIVES) -> dict:
     """The model: families, features (hash, weights), intercepts, temperature, wordings."""
     spark = docs.sparkSession
-    lines = docs.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("p")).filter(F.trim("p") != "").filter(~F.col("p").rlike(CUES))
+    # About `negatives` documents by a hash of their texts, then that many of their lines.
+    one_in = max(1, docs.count() // negatives)
+    some = docs.filter(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0)
+    lines = some.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("p")).filter(F.trim("p") != "").filter(~F.col("p").rlike(CUES))
     sample = [r.p for r in lines.select("p", F.xxhash64("p").alias("h")).orderBy("h", "p").limit(negatives).select("p").collect()]
     families = [*sorted(WORDINGS), UNKNOWN]
     texts, labels, kept_out = [], [], []
