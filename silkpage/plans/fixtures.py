@@ -299,3 +299,23 @@ COUNTS_AFTER = Fixture("counts_after", "site string, slug string, key string, n
 FILES_AFTER = Fixture("files_after", "site string, slug string, file string", tuple(("a", s, f) for s in ("home", "about") for f in ("links.json", "images.json", "headings.json", "readable.md")))
 ASSETS_BEFORE = Fixture("assets_before", "site string, id string, role string", tuple((s, f"i{k}", None) for s, n in (("a", 10), ("b", 3), ("c", 2)) for k in range(n)))
 ASSETS_AFTER = Fixture("assets_after", "site string, id string, role string", (*[("a", f"i{k}", None) for k in range(8)], ("c", "i0", "logo"), ("c", "i1", None)))
+
+HTML_PAGES = Fixture(
+    "html_pages",
+    "page_id bigint, url string, html string",
+    (
+        (
+            1, "https://a.test/team",
+            '<html><head><meta property="og:image" content="/og.jpg"><script type="application/ld+json">{"@type":"ImageObject","url":"/ld.jpg","name":"Org"}</script></head><body><h2>Team</h2>'
+            '<img src="/jo.jpg" alt="Jo"><img src="/al.png" alt=""><img src="/jo.jpg" alt="again"><form method="post" action="/send"><input name="mail"><input type="hidden" name="k"><textarea name="msg"></textarea></form>'
+            "<button>Send</button><button></button></body></html>",
+        ),
+        (
+            2, "https://a.test/news",
+            '<html><head><meta property="og:image" content="https://cdn.test/n.jpg"><script type="application/ld+json">{bad</script><script type="litespeed/javascript">x</script></head><body><p>News</p><form action="/q"><input name="q"></form>'
+            "<button>Search</button><button>More</button></body></html>",
+        ),
+        (3, "https://b.test/", '<html><body><img src="/jo.jpg" alt="B"><p>none</p></body></html>'),
+        (4, "https://b.test/empty", ""),
+    ),
+)
