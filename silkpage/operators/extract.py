@@ -14,13 +14,13 @@ from __future__ import annotations
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import _parse_datatype_string
 
 from silkpage.config import SCAN_TEXT_LIMIT, TEXT_LIMIT
 from silkpage.functions.urls import link_tier, resolve
@@ -30,20 +30,24 @@ FULL = {"images": True, "blocks": True, "readable": True, "ax": True, "text_limi
 SCAN = {"images": False, "blocks": False, "readable": False, "ax": False, "text_limit": SCAN_TEXT_LIMIT}
 
 CONTEXT = "container_classes:array<string>,container_text:string,nearest_heading:string,figcaption:string,link_href:string,above_fold:boolean"
-EXTRACT = (
-    "headings array<struct<level:int,text:string,selector:string>>,"
-    "links array<struct<text:string,raw_href:string,href:string,type:string,selector:string,appears_in:string>>,"
-    f"images array<struct<src:string,alt:string,title:string,width:int,height:int,selector:string,region:string,source:string,context:struct<{CONTEXT}>>>,"
-    "forms array<struct<selector:string,method:string,action:string,fields:array<struct<name:string,label:string,type:string,required:boolean>>>>,"
-    "buttons array<struct<text:string,target:string,selector:string,position:string>>,"
-    "json_ld array<string>,"
-    "metadata struct<title:string,description:string,canonical:string,robots:string,lang:string,open_graph:map<string,string>,twitter:map<string,string>,icons:array<string>>,"
-    "meta_images array<struct<src:string,alt:string,width:int,height:int>>,"
-    "visible_text array<struct<text:string,selector:string,region:string,page_order:int>>,"
-    "blocks array<struct<local_id:string,selector:string,tag:string,class_name:string,region:string,page_order:int,raw_text:string,headings:array<string>,"
-    "links:array<struct<text:string,href:string>>,image_count:int,repeated_cards:int,carousel:boolean,map_embed:boolean,has_form:boolean>>,"
-    "readable string, content_html string, ax string, delayed_js boolean"
-)
+#: The members of an extraction result.
+MEMBERS = {
+    "headings": "array<struct<level:int,text:string,selector:string>>",
+    "links": "array<struct<text:string,raw_href:string,href:string,type:string,selector:string,appears_in:string>>",
+    "images": f"array<struct<src:string,alt:string,title:string,width:int,height:int,selector:string,region:string,source:string,context:struct<{CONTEXT}>>>",
+    "forms": "array<struct<selector:string,method:string,action:string,fields:array<struct<name:string,label:string,type:string,required:boolean>>>>",
+    "buttons": "array<struct<text:string,target:string,selector:string,position:string>>",
+    "json_ld": "array<string>",
+    "metadata": "struct<title:string,description:string,canonical:string,robots:string,lang:string,open_graph:map<string,string>,twitter:map<string,string>,icons:array<string>>",
+    "meta_images": "array<struct<src:string,alt:string,width:int,height:int>>",
+    "visible_text": "array<struct<text:string,selector:string,region:string,page_order:int>>",
+    "blocks": "array<struct<local_id:string,selector:string,tag:string,class_name:string,region:string,page_order:int,raw_text:string,headings:array<string>,"
+    "links:array<struct<text:string,href:string>>,image_count:int,repeated_cards:int,carousel:boolean,map_embed:boolean,has_form:boolean>>",
+    "readable": "string",
+    "content_html": "string",
+    "ax": "string",
+    "delayed_js": "boolean",
+}
 HEADS = ("h1", "h2", "h3", "h4", "h5", "h6")
 ROLES = {
     "header": "banner", "nav": "navigation", "main": "main", "footer": "contentinfo", "aside": "complementary", "form": "form",
@@ -377,37 +381,32 @@ class Page:
         scripts = [n for n in self.all if n.tag == "script"]
         return any(n.get("type") in ("litespeed/javascript", "rocketlazyloadscripts") or "data-litespeed-src" in n.attrs for n in scripts)
 
-    def record(self) -> dict:
-        meta, data = self.metadata(), self.json_ld()
-        readable, content = self.readable()
+    def record(self, members: Sequence[str] = tuple(MEMBERS)) -> dict:
+        """The asked members; what none of them needs is not computed."""
         dump = lambda x: json.dumps(x, ensure_ascii=False, separators=(",", ":"))
-        return {
-            "headings": self.headings(),
-            "links": self.links(),
-            "images": self.images(),
-            "forms": self.forms(),
-            "buttons": self.buttons(),
-            "json_ld": [dump(d) for d in data],
-            "metadata": meta | {k: list(meta[k].items()) for k in ("open_graph", "twitter")},
-            "meta_images": self.meta_images(meta, data),
-            "visible_text": self.visible_text(),
-            "blocks": self.blocks(),
-            "readable": readable,
-            "content_html": content,
-            "ax": self.ax(),
-            "delayed_js": self.delayed_js(),
-        }
-
-
-def _extractor(caps: dict):
-    kind = to_arrow_schema(StructType([*_parse_datatype_string("page_id bigint, url string").fields, *_parse_datatype_string(EXTRACT).fields]))
+        out: dict = {}
+        if not {"json_ld", "meta_images"}.isdisjoint(members):
+            data = self.json_ld()
+            out["json_ld"] = [dump(d) for d in data]
+        if not {"metadata", "meta_images"}.isdisjoint(members):
+            meta = self.metadata()
+            out["metadata"] = meta | {k: list(meta[k].items()) for k in ("open_graph", "twitter")}
+        if "meta_images" in members:
+            out["meta_images"] = self.meta_images(meta, data)
+        if not {"readable", "content_html"}.isdisjoint(members):
+            out["readable"], out["content_html"] = self.readable()
+        return {m: out[m] if m in out else getattr(self, m)() for m in members}
+
+
+def _extractor(caps: dict, members: Sequence[str], schema: str):
+    kind = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 100):
                 part = big.slice(at, 100)
                 rows = [
-                    {"page_id": i, "url": u, **Page(u, h, caps).record()}
+                    {"page_id": i, "url": u, **Page(u, h, caps).record(members)}
                     for i, u, h in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)
                 ]
                 yield pa.RecordBatch.from_pylist(rows, kind)
@@ -415,9 +414,11 @@ def _extractor(caps: dict):
     return run
 
 
-def extract(pages: DataFrame, caps: dict = FULL) -> DataFrame:
-    """page_id, url and the records of each page."""
-    return pages.select("page_id", "url", "html").mapInArrow(_extractor(caps), f"page_id bigint, url string, {EXTRACT}")
+def extract(pages: DataFrame, caps: dict = FULL, members: Sequence[str] = tuple(MEMBERS)) -> DataFrame:
+    """page_id, url and the asked members of each page. Column pruning does not reach into
+    a Python operator, so a query names what it needs."""
+    schema = ", ".join(["page_id bigint", "url string", *[f"{m} {MEMBERS[m]}" for m in members]])
+    return pages.select("page_id", "url", "html").mapInArrow(_extractor(caps, members, schema), schema)
 
 
 def child(extracted: DataFrame, name: str) -> DataFrame:

@@ -21,9 +21,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages")
 
 
-# The parser's output feeds every extractor; scan capabilities leave out what a query does not ask for.
-def parsed(spark: SparkSession, sf_dir: str, caps: dict = X.SCAN) -> DataFrame:
-    return X.extract(pages(spark, sf_dir), caps)
+def parsed(spark: SparkSession, sf_dir: str, *members: str, caps: dict = X.SCAN) -> DataFrame:
+    return X.extract(pages(spark, sf_dir), caps, members)
 
 
 QUERIES: dict = {}
@@ -116,21 +115,21 @@ CLEAN = r"^/[A-Za-z0-9/_-]*$"
   CASE WHEN regexp_matches(raw_href, '{CLEAN}') THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || raw_href END AS clean_href, type, appears_in, 0 AS tier FROM l""",
 )
 def page_links(spark, sf_dir):
-    ls = X.links(parsed(spark, sf_dir))
+    ls = X.links(parsed(spark, sf_dir, "links"))
     return ls.select("page_id", "ord", "text", "raw_href", F.when(F.col("raw_href").rlike(CLEAN), F.col("href")).alias("clean_href"), "type", "appears_in", "tier")
 
 
 @add("page_headings", rf"""WITH g AS (SELECT page_id, regexp_extract_all(html, '<h([1-6])>[^<]*</h[1-6]>', 1) AS ls, regexp_extract_all(html, '<h[1-6]>([^<]*)</h[1-6]>', 1) AS ts FROM pages),
   f AS (SELECT page_id, unnest(ls)::INTEGER AS level, unnest(ts) AS t FROM g) SELECT page_id, level, substr(trim({_UNESC('t')}), 1, 300) AS text FROM f WHERE trim(t) <> ''""")
 def page_headings(spark, sf_dir):
-    return X.child(parsed(spark, sf_dir), "headings").select("page_id", "level", "text")
+    return X.child(parsed(spark, sf_dir, "headings"), "headings").select("page_id", "level", "text")
 
 
 @add("page_metadata", rf"""SELECT page_id, trim(regexp_replace({_UNESC("regexp_extract(html, '<title>([^<]*)</title>', 1)")}, '\s+', ' ', 'g')) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
   CAST(NULL AS VARCHAR) AS description, url AS canonical_or_url, 0 AS n_icons FROM pages""")
 def page_metadata(spark, sf_dir):
     m = F.col("metadata")
-    return parsed(spark, sf_dir).select(
+    return parsed(spark, sf_dir, "metadata").select(
         "page_id", m["title"].alias("title"), m["lang"].alias("lang"), m["description"].alias("description"),
         F.coalesce(F.nullif(m["canonical"], F.lit("")), F.col("url")).alias("canonical_or_url"), F.size(m["icons"]).alias("n_icons"),
     )
@@ -139,18 +138,18 @@ def page_metadata(spark, sf_dir):
 @add("page_counts", r"""SELECT page_id, len(regexp_extract_all(html, '<h[1-6]>[^<]')) AS headings, len(regexp_extract_all(html, '<a href')) AS links, 0::BIGINT AS images, 0::BIGINT AS forms,
   len(regexp_extract_all(html, '<(nav|article|footer)>')) AS blocks, 0::BIGINT AS structured_data FROM pages""")
 def page_counts(spark, sf_dir):
-    return parsed(spark, sf_dir, X.FULL).select("page_id", *X.counts())
+    return parsed(spark, sf_dir, "headings", "links", "images", "forms", "blocks", "json_ld", caps=X.FULL).select("page_id", *X.counts())
 
 
 @add("link_tiers", f"WITH {ANCHORS} SELECT type, 0 AS tier, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM l GROUP BY type")
 def link_tiers(spark, sf_dir):
-    return X.links(parsed(spark, sf_dir)).groupBy("type", "tier").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("n_pages"))
+    return X.links(parsed(spark, sf_dir, "links")).groupBy("type", "tier").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("n_pages"))
 
 
 @add("link_sample", rf"""WITH {ANCHORS}, i AS (SELECT page_id, raw_href, min(ord) AS ord FROM l WHERE type = 'internal' AND NOT regexp_matches(raw_href, '(?i)\.(jpg|jpeg|png|gif|css|js|ico|svg|woff2?)(\?|$)') GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n FROM i) SELECT page_id, n::INTEGER AS n, raw_href FROM r WHERE n <= {LINK_SAMPLE}""")
 def link_sample(spark, sf_dir):
-    ls = X.links(parsed(spark, sf_dir)).select("page_id", "ord", "type", F.col("raw_href").alias("href"))
+    ls = X.links(parsed(spark, sf_dir, "links")).select("page_id", "ord", "type", F.col("raw_href").alias("href"))
     return S.link_sample(ls).withColumnRenamed("href", "raw_href")
 
 
@@ -179,7 +178,7 @@ def crawl_gate(spark, sf_dir):
 SELECT c.site, n_pages, coalesce(n_links, 0) AS n_links, coalesce(n_targets, 0) AS n_targets, coalesce(n_internal, 0) AS n_internal, coalesce(n_links, 0) AS tier0, 0::BIGINT AS tier1 FROM c LEFT JOIN k USING (site)""",
 )
 def site_link_inventory(spark, sf_dir):
-    x = parsed(spark, sf_dir).select("page_id", "url", "links").withColumn("site", U.politeness_key(F.col("url")))
+    x = parsed(spark, sf_dir, "links").select("page_id", "url", "links").withColumn("site", U.politeness_key(F.col("url")))
     rows = x.select("site", "page_id", F.explode_outer("links").alias("l"))
     tier = U.link_tier(F.col("l.appears_in"))
     some = F.col("l").isNotNull()
@@ -230,27 +229,27 @@ def text_duplicates(spark, sf_dir):
 
 @add("visible_text", None)
 def visible_text(spark, sf_dir):
-    return X.child(parsed(spark, sf_dir), "visible_text").select("page_id", "page_order", "text", "selector", "region")
+    return X.child(parsed(spark, sf_dir, "visible_text"), "visible_text").select("page_id", "page_order", "text", "selector", "region")
 
 
 @add("dom_blocks", r"""WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '<(nav|article|footer)>', 1)) AS tag, unnest(range(len(regexp_extract_all(html, '<(nav|article|footer)>')))) AS k,
   len(regexp_extract_all(html, '<a href')) AS n FROM pages)
 SELECT page_id, 'block.' || lpad((k + 1)::VARCHAR, 3, '0') AS local_id, tag, CASE WHEN tag = 'nav' THEN n ELSE 0 END::BIGINT AS n_links, CASE tag WHEN 'nav' THEN 'navigation' WHEN 'footer' THEN 'footer' ELSE 'body' END AS region FROM b""")
 def dom_blocks(spark, sf_dir):
-    b = X.child(parsed(spark, sf_dir, X.FULL), "blocks")
+    b = X.child(parsed(spark, sf_dir, "blocks", caps=X.FULL), "blocks")
     return b.select("page_id", "local_id", "tag", F.size("links").cast("long").alias("n_links"), "region")
 
 
 @add("page_readable", None)
 def page_readable(spark, sf_dir):
-    x = parsed(spark, sf_dir, X.FULL)
+    x = parsed(spark, sf_dir, "metadata", "readable", "content_html", caps=X.FULL)
     md = T.readable_md(F.col("metadata.title"), F.col("url"), F.col("readable"))
     return x.select("page_id", T.text_hash(F.col("readable")).alias("text_hash"), F.char_length("readable").alias("n_chars"), F.char_length("content_html").alias("n_html"), md.alias("markdown"))
 
 
 @add("ax_tree", None)
 def ax_tree(spark, sf_dir):
-    return parsed(spark, sf_dir, X.FULL).select("page_id", "ax", F.get_json_object("ax", "$.role").alias("role"))
+    return parsed(spark, sf_dir, "ax", caps=X.FULL).select("page_id", "ax", F.get_json_object("ax", "$.role").alias("role"))
 
 
 @add("page_slugs", f"""WITH {PARTS}, s AS (SELECT page_id, {POLITE} AS site, {_slug_sql(60, 'page')} AS base FROM h),
@@ -263,7 +262,7 @@ def page_slugs(spark, sf_dir):
 
 @add("asset_inventory", None)
 def asset_inventory(spark, sf_dir):
-    x = parsed(spark, sf_dir, X.FULL)
+    x = parsed(spark, sf_dir, "images", caps=X.FULL)
     images = X.child(x, "images").drop("url")
     p = pages(spark, sf_dir).select("page_id", U.politeness_key(F.col("url")).alias("site"), F.col("page_id").cast("int").alias("seq"), U.slug_base(F.col("url")).alias("slug"), F.col("url").alias("final_url"))
     return X.assets(images, p)
