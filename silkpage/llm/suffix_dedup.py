@@ -15,7 +15,9 @@ A  Every `length`-byte string holds a minimizer, the smallest of the hashes of i
    of the smallest doc_id are repeats as a whole. What is left are minimizers with
    different surroundings in different documents: edges of repeats.
 B  The surroundings of these are read from the texts, each bucket of them is a block,
-   and its maximal repeats give the exact borders.
+   and its maximal repeats give the exact borders. A minimizer with more than HOT
+   different surroundings (a passage that very many texts share) is split: its strings of
+   `length` bytes are combined in each part of the documents and dealt by their bytes.
 C  Spans meet their texts, in parts of bounded size, and are cut out.
 
 A copied text or passage is combined in its chunk before the shuffle: one entry a chunk
@@ -31,6 +33,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +46,8 @@ from .common import materialize, table
 LENGTH, GRAM = 50, 20
 #: Bytes of text for each bucket of minimizers, and surroundings in each block.
 BUCKET_BYTES, BLOCK_SURROUNDINGS = 4 << 20, 8_000
+#: Different surroundings of one minimizer that stay together in a block.
+HOT = 2_000
 #: Minimizers that a task packs at once, and bytes of text that it hashes at once.
 CHUNK, STEP = 700_000, 1 << 18
 #: Bytes of text in one part of the documents when spans meet their texts, about.
@@ -328,7 +333,7 @@ def _span_table(rows: list[tuple[int, bool, bytes]]) -> pa.Table:
     return pa.table({"part": pa.array(part, pa.int32()), "open": pa.array(open_, pa.bool_()), "blob": pa.array(blob, pa.binary())})
 
 
-def _meet(parts: int, length: int, gram: int):
+def _meet(parts: int, length: int, gram: int, most: int):
     reach = length - gram
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
@@ -348,7 +353,8 @@ def _meet(parts: int, length: int, gram: int):
             size = np.diff(np.r_[begin, len(h)])
             several = (np.maximum.reduceat(same, begin) != np.minimum.reduceat(same, begin)) & (np.maximum.reduceat(doc, begin) != np.minimum.reduceat(doc, begin))
             need = np.repeat(several, size)
-            anchor = (h[need] | U(key[0].as_py()) << U(48)).view(np.int64)
+            hot = np.repeat(size > most, size)[need]
+            anchor = ((h[need] | U(key[0].as_py()) << U(48)) & ~U(1) | hot.astype(np.uint64)).view(np.int64)
             rows += _by_part(doc[need], fp[need], pos[need], anchor, parts, True)
         return _span_table(rows)
 
@@ -386,17 +392,32 @@ def _runs(doc: np.ndarray, fp: np.ndarray) -> Iterator[tuple[tuple[int, int], np
 def _cut_surroundings(blocks: int, length: int, gram: int):
     reach = length - gram
 
-    def cut(docs: pa.Table, spans: pa.Table) -> pa.Table:
+    def cut(key: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
         doc, fp, pos, anchor = unpack_spans(spans.column("blob").to_pylist())
-        block = (anchor ^ anchor >> 20) % blocks
+        block, hot = (anchor ^ anchor >> 20) % blocks, anchor & 1 > 0
         texts = Texts(docs)
         out: dict[int, tuple[list, list, list, list]] = {}
-        for key, mine in _runs(doc, fp):
-            t = texts[texts.at[key][0]]
-            for b, p in zip(block[mine].tolist(), pos[mine].tolist(), strict=True):
+        windows: dict[bytes, list[tuple[int, int, int]]] = {}
+
+        def put(b: int, i: int, f: int, lo: int, body: bytes) -> None:
+            for held, x in zip(out.setdefault(b, ([], [], [], [])), (i, f, lo, body), strict=True):
+                held.append(x)
+
+        for (i, f), mine in _runs(doc, fp):
+            t = texts[texts.at[(i, f)][0]]
+            for b, p, many in zip(block[mine].tolist(), pos[mine].tolist(), hot[mine].tolist(), strict=True):
                 lo = max(0, p - reach)
-                ids, fps, los, body = out.setdefault(b, ([], [], [], []))
-                ids.append(key[0]), fps.append(key[1]), los.append(lo), body.append(t[lo : p + gram + reach])
+                if not many:
+                    put(b, i, f, lo, t[lo : p + gram + reach])
+                    continue
+                for at in range(lo, min(p, len(t) - length) + 1):
+                    windows.setdefault(t[at : at + length], []).append((i, f, at))
+        # A string of a hot minimizer goes on for the smallest doc_id here, which settles the others.
+        done = -1 - key[0].as_py()
+        for w, at in windows.items():
+            first = min(at)[0]
+            for i, f, lo in at:
+                put(*((zlib.crc32(w) % blocks, i, f, lo, w) if i == first else (done, i, f, lo, b"")))
         cols = list(zip(*out.values(), strict=True)) or [(), (), (), ()]
         kinds = [pa.list_(pa.int64())] * 3 + [pa.list_(pa.binary())]
         return pa.table({"block": pa.array(list(out), pa.int32())} | {n: pa.array(x, k) for n, x, k in zip(("doc_id", "fp", "lo", "body"), cols, kinds, strict=True)})
@@ -405,8 +426,10 @@ def _cut_surroundings(blocks: int, length: int, gram: int):
 
 
 def _borders(parts: int, length: int):
-    def borders(group: pa.Table) -> pa.Table:
+    def borders(key: tuple, group: pa.Table) -> pa.Table:
         ids, fps, los = (np.concatenate([x.values.to_numpy() for x in group.column(c)]) for c in ("doc_id", "fp", "lo"))
+        if key[0].as_py() < 0:  # strings that a part of the documents has settled
+            return _span_table(list(_by_part(ids, fps, los, los + length, parts, False)))
         bodies = [b for x in group.column("body") for b in x.as_py()]
         out = [[np.empty(0, np.int64)] for _ in range(4)]
         for size, which, offset in repeat_groups(bodies, length):
@@ -435,7 +458,7 @@ def _prime(n: int) -> int:
     return n
 
 
-def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[int, DataFrame]:
+def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[int, DataFrame]:
     """docs has doc_id, fp and text; result: (parts, SPANS): blobs of the byte spans whose
     strings also start in smaller doc_ids, of the documents with doc_id % parts = part."""
     spark = docs.sparkSession
@@ -443,7 +466,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tup
     buckets = min(1 << 16, max(64, total // BUCKET_BYTES))
     parts = _prime(max(64, total // PART_BYTES))
     gathered = docs.select("doc_id", "fp", "text").mapInArrow(_gather(buckets, length, gram), "bucket int, blob binary")
-    found = materialize(gathered.groupBy("bucket").applyInArrow(_meet(parts, length, gram), SPANS), "repeat-places")
+    found = materialize(gathered.groupBy("bucket").applyInArrow(_meet(parts, length, gram, hot), SPANS), "repeat-places")
     _release(spark)
     wanted = found.filter("open")
     entry = 25  # bytes of a packed place
@@ -509,13 +532,13 @@ def _whole_chars(body: bytes, lo: int, hi: int) -> tuple[int, int]:
     return lo, hi
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, the columns `keep`, n_bytes, n_removed, n_spans, kept_sha256 and, where
     columns to keep are named, kept_text: the characters that are not covered as a whole."""
     others = {f"__k{i}": F.col(c) for i, c in enumerate(keep or [])}
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[c.alias(n) for n, c in others.items()])
     base = base.withColumn("fp", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)))
-    parts, spans = repeat_spans(base, length)
+    parts, spans = repeat_spans(base, length, hot=hot)
     extra = "".join(f", {n} {base.schema[n].dataType.simpleString()}" for n in others)
     result = (
         base.withColumn("part", _part(parts))

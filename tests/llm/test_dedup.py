@@ -125,6 +125,17 @@ def test_op6(spark, sf, docs):
     assert got == brute_spans(rows)
 
 
+def test_hot_minimizers_are_split(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(1, 6)))
+    passage = " ".join(word() for _ in range(25))
+    rows = [(k, " ".join(word() for _ in range(rng.randint(0, 20))) + passage[rng.randrange(8) :] + word()) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for hot in (1, 10**6):
+        got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in D.remove_repeats(df, hot=hot).collect()), key=str)
+        assert got == brute_spans(rows)
+
+
 def test_op6_edges(edge, nothing):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
     out = D.remove_repeats(edge, keep=["lang"]).collect()
