@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,8 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         app = spark.sparkContext.applicationId
-        named = _own_dirs.setdefault(app, "") or tempfile.mkdtemp(prefix="silkpage-")
-        _own_dirs[app] = named
+        named = _own_dirs.get(app)
+        if not named:
+            named = _own_dirs[app] = tempfile.mkdtemp(prefix="silkpage-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
