@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,8 +40,10 @@ from .common import materialize, table
 BLOCK, PERCENTILE = 128, 90
 #: Ids of one segment, about: it ends with the document that reaches this.
 SEGMENT = 1 << 19
-#: Pieces that one Python worker remembers: those met in several batches, and new ones.
-KNOWN, YOUNG = 400_000, 300_000
+#: Pieces that one Python worker remembers; beyond, those of its last RECENT batches stay.
+MEMORY, RECENT = 600_000, 3
+#: Bytes of text that are encoded at once, about.
+STEP = 12 << 20
 END_ID = 1
 MAGIC = b"PFR1"
 
@@ -153,75 +156,129 @@ class Segment:
         return (out + self.low[k])[: min(BLOCK, self.n - k * BLOCK)]
 
 
+class Rows:
+    """Rows of ids of different lengths, in one flat array."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray):
+        self.flat, self.size = flat, size
+        self.start = np.cumsum(size) - size
+
+    def take(self, which: np.ndarray) -> Rows:
+        n = self.size[which]
+        ends = np.cumsum(n)
+        return Rows(self.flat[np.repeat(self.start[which] - (ends - n), n) + np.arange(int(n.sum()))], n)
+
+    def __add__(self, other: Rows) -> Rows:
+        return Rows(np.concatenate([self.flat, other.flat]), np.concatenate([self.size, other.size]))
+
+    def joined(self, counts: np.ndarray) -> Rows:
+        """Neighbouring rows as one: counts of them."""
+        ends = np.r_[0, np.cumsum(self.size)]
+        return Rows(self.flat, np.diff(ends[np.r_[0, np.cumsum(counts)]]))
+
+
+NOTHING = Rows(np.empty(0, np.uint32), np.empty(0, np.int64))
+
+
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, asked for each new word.
 
-    Texts are cut at white space and into words as the vocabulary's rules do (bpe.py),
-    written in byte symbols, and the library merges all new words of a batch in one call:
-    its tokens end a word where they have the word-end mark. Tests hold the ids against
-    the library on whole texts."""
+    Arrow cuts a batch of texts at ASCII white space, numbers the different pieces and
+    finds those that are known. New pieces are cut into words as the vocabulary's rules do
+    (letters, or letters and a mark, by Arrow; others by bpe.py), written in byte symbols,
+    and the library merges all new words in one call: its tokens end a word where they have
+    the word-end mark. Tests hold the ids against the library on whole texts."""
 
     def __init__(self, body: str):
         from tokenizers import Tokenizer
 
-        from .bpe import Vocabulary, byte_symbols, pieces_of
+        from .bpe import Vocabulary, byte_symbols
 
-        self.pieces_of = pieces_of
         vocabulary = Vocabulary(body)
         self.split = vocabulary.words
         spec = json.loads(body)
         ends = np.zeros(max(vocabulary.tokens) + 1, bool)
         ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
-        self.ends = ends
+        self.ends, self.special = ends, [(f"\x00{i}", i) for i in vocabulary.special.values()]
         # The same model over words in byte symbols: no rules before it but white space.
         spec |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "truncation": None, "padding": None}
         self.model = Tokenizer.from_str(json.dumps(spec))
         self.symbols = str.maketrans({k: c for k, c in enumerate(byte_symbols()) if k != 32})
-        self.known: dict[str, bytes] = {}
-        self.young: dict[str, bytes] = {}
-
-    def _merge(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of different words."""
-        if not words:
-            return {}
-        shown = " ".join(words).encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
-        ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
-        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        body = ids.tobytes()
-        return {w: body[a:b] for w, a, b in zip(words, [0, *stops[:-1]], stops, strict=True)}
-
-    def _batch(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of different pieces. A piece that is met again in a later batch moves to
-        the known ones; new ones are forgotten together."""
-        known, young = self.known, self.young
-        out, new = {}, {}
-        for p in pieces:
-            got = known.get(p)
-            if got is None:
-                got = young.get(p)
-                if got is None:
-                    new[p] = self.split(p)
-                    continue
-                known[p] = got
-            out[p] = got
-        words = {w for ws in new.values() for w in ws}
-        found: dict[str | int, bytes] = {w: struct.pack("<I", w) for w in words if isinstance(w, int)}
-        found |= {w: got for w in words if (got := known.get(w) or young.get(w))}
-        found |= self._merge([w for w in words if w not in found])
-        for p, ws in new.items():
-            out[p] = young[p] = found[ws[0]] if len(ws) == 1 else b"".join([found[w] for w in ws])
-        known.update({w: b for w, b in found.items() if isinstance(w, str) and len(w) < 3})  # marks stand in many pieces
-        if len(known) > KNOWN:  # what is met again comes back
-            self.known, self.young = {}, known
-        elif len(young) > YOUNG:
-            self.young = {}
-        return out
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        pieces = [self.pieces_of(t) if t else [] for t in texts]
-        find = self._batch(set().union(*pieces)).__getitem__
-        return [b"".join(map(find, ps)) for ps in pieces]
+        self.pieces, self.rows = pa.array([], pa.string()), NOTHING
+        self.used, self.batch = np.empty(0, np.int64), 0
+
+    def _merge(self, words: pa.Array) -> Rows:
+        """Ids of different words without white space; special tokens stand as \\0 and their id."""
+        if not len(words):
+            return NOTHING
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+        shown = text.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.symbols)
+        ids = np.array(self.model.encode_batch_fast([shown], add_special_tokens=False)[0].ids, np.uint32)
+        rows = Rows(ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+        if len(rows.size) != len(words):
+            raise AssertionError("a word has no end")
+        for mark, i in self.special:  # rare: put the special token's own id
+            for k in np.flatnonzero(pc.equal(words, mark).to_numpy(zero_copy_only=False)).tolist():
+                order = np.arange(len(words))
+                order[k] = len(words)
+                rows = (rows + Rows(np.array([i], np.uint32), np.array([1]))).take(order)
+        return rows
+
+    def _learn(self, new: pa.Array) -> Rows:
+        """Ids of different new pieces."""
+        alpha = pc.ascii_is_alpha(new).to_numpy(zero_copy_only=False)
+        body, tail = pc.utf8_slice_codeunits(new, 0, -1), pc.utf8_slice_codeunits(new, -1)
+        mark = pc.and_not(pc.string_is_ascii(tail), pc.ascii_is_alnum(tail))
+        two = pc.and_(pc.ascii_is_alpha(body), mark).to_numpy(zero_copy_only=False) & ~alpha
+        other = ~alpha & ~two
+        counts = np.where(alpha, 1, 2)
+        cut = [[w if isinstance(w, str) else f"\x00{w}" for w in self.split(p)] for p in new.filter(pa.array(other)).to_pylist()]
+        counts[other] = [len(ws) for ws in cut]
+        groups = [pc.ascii_lower(new.filter(pa.array(alpha))), pc.ascii_lower(body.filter(pa.array(two))), tail.filter(pa.array(two)), pa.array([w for ws in cut for w in ws], pa.string())]
+        words = pa.concat_arrays(groups).dictionary_encode()
+        which = words.indices.to_numpy().astype(np.int64)
+        # Each piece's words in order: numbers of the words in the groups above.
+        first = np.cumsum(counts) - counts
+        order = np.empty(int(counts.sum()), np.int64)
+        a, t = int(alpha.sum()), int(two.sum())
+        order[first[alpha]] = which[:a]
+        order[first[two]] = which[a : a + t]
+        order[first[two] + 1] = which[a + t : a + 2 * t]
+        inner = np.repeat(other, counts)
+        order[inner] = which[a + 2 * t :]
+        return self._merge(words.dictionary).take(order).joined(counts)
+
+    def _ids_of(self, pieces: pa.Array) -> Rows:
+        """Ids of different pieces; new ones are remembered."""
+        self.batch += 1
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().astype(np.int64)
+        new = at < 0
+        self.used[at[~new]] = self.batch
+        n = len(self.pieces)
+        at[new] = n + np.arange(int(new.sum()))
+        if new.any():
+            fresh = pieces.filter(pa.array(new))
+            self.rows = self.rows + self._learn(fresh)
+            self.pieces = pa.concat_arrays([self.pieces, fresh])
+            self.used = np.r_[self.used, np.full(len(fresh), self.batch)]
+        found = self.rows.take(at)
+        if len(self.pieces) > MEMORY:
+            stay = np.flatnonzero(self.used > self.batch - RECENT)
+            again = stay[stay < n] if len(stay) > MEMORY else stay  # at the least what is met again
+            self.pieces, self.rows, self.used = self.pieces.take(pa.array(again)), self.rows.take(again), self.used[again]
+        return found
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each followed by end_id; ids of each text)."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        pieces = lists.flatten().dictionary_encode()
+        entries = self._ids_of(pieces.dictionary) + Rows(np.array([end_id], np.uint32), np.array([1]))
+        # The end id stands as a last piece in every text.
+        which = np.insert(pieces.indices.to_numpy().astype(np.int64), bounds[1:], len(entries.size) - 1)
+        found = entries.take(which).joined(np.diff(bounds) + 1)
+        return found.flat, found.size
 
 
 TOKEN_TABLE = "part int, number int, first bigint, n_tokens bigint, doc_ids array<bigint>, lengths array<bigint>, segment binary"
@@ -229,27 +286,32 @@ TOKEN_TABLE = "part int, number int, first bigint, n_tokens bigint, doc_ids arra
 
 def _writer(vocab, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = PieceEncoder(vocab.value), struct.pack("<I", end_id)
+        encode = PieceEncoder(vocab.value)
         part, number, first = TaskContext.get().partitionId(), 0, 0
         ids, lengths, bodies = [], [], []
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+        names = [c.split()[0] for c in TOKEN_TABLE.split(", ")]
 
         def segment() -> pa.RecordBatch:
             nonlocal number, first
-            packed = encode_blocks(np.frombuffer(b"".join(bodies), "<u4"))
             n = sum(lengths)
-            row = {"part": part, "number": number, "first": first, "n_tokens": n, "doc_ids": list(ids), "lengths": list(lengths), "segment": packed}
+            row = (part, number, first, n, list(ids), list(lengths), encode_blocks(np.concatenate(bodies)))
             number, first = number + 1, first + n
             ids.clear(), lengths.clear(), bodies.clear()
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row.values(), kinds, strict=True)], list(row))
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
         size = 0
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                batch = big.slice(at, 1000)
-                for doc_id, body in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                    ids.append(doc_id), lengths.append(len(body) // 4 + 1), bodies.append(body + end)
-                    size += lengths[-1]
+            weight = np.cumsum(pc.fill_null(pc.binary_length(big.column(1)), 0).to_numpy()) // STEP
+            edges = [0, *(np.flatnonzero(np.diff(weight)) + 1).tolist(), big.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if a == b:
+                    continue
+                found, n = encode(big.column(1).slice(a, b - a), end_id)
+                stop = np.cumsum(n).tolist()
+                for doc_id, k, at in zip(big.column(0).slice(a, b - a).to_pylist(), n.tolist(), stop, strict=True):
+                    ids.append(doc_id), lengths.append(k), bodies.append(found[at - k : at])
+                    size += k
                     if size >= SEGMENT:
                         yield segment()
                         size = 0
