@@ -31,6 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +41,10 @@ from .common import drop_table, materialize, table
 LEXICON = 65_536
 #: Counters of one Misra-Gries summary; its counts are low by at most words / COUNTERS.
 COUNTERS = 4 * LEXICON
-#: Pieces that one Python worker remembers: those met in several batches, and new ones.
-KNOWN, YOUNG = 250_000, 200_000
+#: Pieces that one Python worker remembers; beyond, those of its last RECENT batches stay.
+MEMORY, RECENT = 400_000, 3
+#: Bytes of text that are encoded at once, about.
+STEP = 8 << 20
 #: Unicode white space, and how the vocabulary's file splits words.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
@@ -311,67 +314,89 @@ def build_lexicon(docs: DataFrame, vocab, text: str = "text", size: int = LEXICO
     return Transducer.compile((w, v.merge(w)) for w in sorted(bytes(r.word) for r in top))
 
 
+class PieceStrings:
+    """For each known piece its ids in decimal and its decoded text, both with a space at
+    the end, so that what a text's pieces give lies joined in one buffer."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        self.tokens, self.number = codec.v.tokens, {i: str(i) for i in codec.v.tokens}
+        self.pieces = self.ids = self.text = pa.array([], pa.large_string())
+        self.used, self.batch = np.empty(0, np.int64), 0
+
+    def _learn(self, new: list[str]) -> tuple[pa.Array, pa.Array]:
+        codec, number, tokens = self.codec, self.number, self.tokens
+        cut = [codec.v.words(p) for p in new]
+        distinct = list({w for ws in cut for w in ws if isinstance(w, str)})
+        found: dict[str | int, tuple[str, str]] = {i: (number[i] + " ", tokens[i] + " ") for i in codec.v.special.values()}
+        for w, ids in zip(distinct, codec.encode_words(distinct), strict=True):
+            if len(ids) == 1:
+                found[w] = number[ids[0]] + " ", tokens[ids[0]] + " "
+            else:
+                found[w] = " ".join([number[i] for i in ids]) + " ", " ".join([tokens[i] for i in ids]) + " "  # decoding goes token by token
+        a = [found[ws[0]][0] if len(ws) == 1 else "".join([found[w][0] for w in ws]) for ws in cut]
+        b = [found[ws[0]][1] if len(ws) == 1 else "".join([found[w][1] for w in ws]) for ws in cut]
+        return pa.array(a, pa.large_string()), pa.array(b, pa.large_string())
+
+    def of(self, pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """(ids, text) of different pieces; new ones are remembered."""
+        self.batch += 1
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.pieces), -1).to_numpy().astype(np.int64)
+        new = at < 0
+        n = len(self.pieces)
+        self.used[at[~new]] = self.batch
+        at[new] = n + np.arange(int(new.sum()))
+        if new.any():
+            fresh = pieces.filter(pa.array(new))
+            ids, text = self._learn(fresh.to_pylist())
+            self.pieces, self.ids, self.text = (pa.concat_arrays(x) for x in ((self.pieces, fresh), (self.ids, ids), (self.text, text)))
+            self.used = np.r_[self.used, np.full(len(fresh), self.batch)]
+        which = pa.array(at)
+        out = self.ids.take(which), self.text.take(which)
+        if len(self.pieces) > MEMORY:
+            stay = np.flatnonzero(self.used > self.batch - RECENT)
+            keep = pa.array(stay[stay < n] if len(stay) > MEMORY else stay)  # at the least what is met again
+            self.pieces, self.ids, self.text = self.pieces.take(keep), self.ids.take(keep), self.text.take(keep)
+            self.used = self.used[keep.to_numpy()]
+        return out
+
+
+def _joined(strings: pa.Array, which: pa.Array, bounds: np.ndarray) -> list[memoryview]:
+    """The strings of each text one after the other, without the last space."""
+    all_ = strings.take(which)
+    offsets = np.frombuffer(all_.buffers()[1], np.int64)[all_.offset : all_.offset + len(all_) + 1] if len(all_) else np.zeros(1, np.int64)
+    body = memoryview(all_.buffers()[2] or b"")
+    edges = offsets[bounds].tolist()
+    return [body[a : max(a, b - 1)] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def slices(texts: pa.Array, step: int) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts of about `step` bytes."""
+    weight = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()) // step
+    edges = [0, *(np.flatnonzero(np.diff(weight)) + 1).tolist(), len(texts)]
+    return ((a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b)
+
+
 def _coder(vocab, lexicon, with_ids: bool):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(Vocabulary(vocab.value), in_memory_map(lexicon.value))
-        tokens, number = codec.v.tokens, {i: str(i) for i in codec.v.tokens}
-        known: dict[str, tuple[str, str]] = {}  # (ids, decoded) of pieces met in several batches
-        young: dict[str, tuple[str, str]] = {}  # of new ones
-
-        def shown(ids: list[int]) -> tuple[str, str]:
-            return " ".join([number[i] for i in ids]), " ".join([tokens[i] for i in ids])  # decoding goes token by token
-
-        def learn(pieces: set[str]) -> tuple[dict[str, str], dict[str, str]]:
-            """Ids and decoded text of different pieces."""
-            nonlocal known, young
-            as_ids, as_text, new = {}, {}, {}
-            for p in pieces:
-                got = known.get(p)
-                if got is None:
-                    got = young.get(p)
-                    if got is None:
-                        new[p] = codec.v.words(p)
-                        continue
-                    known[p] = got
-                as_ids[p], as_text[p] = got
-            words = {w for ws in new.values() for w in ws}
-            found = {w: shown([w]) for w in words if isinstance(w, int)}
-            found |= {w: got for w in words if (got := known.get(w) or young.get(w))}
-            rest = [w for w in words if w not in found]
-            for w, ids in zip(rest, codec.encode_words(rest), strict=True):
-                found[w] = shown(ids)
-            for p, ws in new.items():
-                if len(ws) == 1:
-                    got = found[ws[0]]
-                else:
-                    got = " ".join([found[w][0] for w in ws]), " ".join([found[w][1] for w in ws])
-                young[p] = got
-                as_ids[p], as_text[p] = got
-            known.update({w: x for w, x in found.items() if isinstance(w, str) and len(w) < 3})  # marks stand in many pieces
-            if len(known) > KNOWN:  # what is met again comes back
-                known, young = {}, known
-            elif len(young) > YOUNG:
-                young = {}
-            return as_ids, as_text
-
+        strings = PieceStrings(Codec(Vocabulary(vocab.value), in_memory_map(lexicon.value)))
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                part = big.slice(at, 1000)
-                texts = [pieces_of(t or "") for t in part.column(1).to_pylist()]
-                as_ids, as_text = learn(set().union(*texts))
-                n, ids_sha, text_sha, ids_out, text_out = [], [], [], [], []
-                for ps in texts:
-                    ids = " ".join(map(as_ids.__getitem__, ps))
-                    back = " ".join(map(as_text.__getitem__, ps))
-                    n.append(ids.count(" ") + 1 if ids else 0)
-                    ids_sha.append(hashlib.sha256(ids.encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(back.encode()).hexdigest())
-                    if with_ids:
-                        ids_out.append(np.fromstring(ids, np.int32, sep=" "))
-                        text_out.append(back)
-                columns = {"doc_id": part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+            for a, b in slices(big.column(1), STEP):
+                part = big.slice(a, b - a)
+                lists = pc.ascii_split_whitespace(pc.fill_null(part.column(1), "").cast(pa.large_string()))
+                bounds = lists.offsets.to_numpy().astype(np.int64)
+                bounds -= bounds[0]
+                pieces = lists.flatten().dictionary_encode()
+                ids, text = (_joined(x, pieces.indices, bounds) for x in strings.of(pieces.dictionary))
+                columns = {
+                    "doc_id": part.column(0),
+                    "n_tokens": pa.array([bytes(x).count(b" ") + 1 if len(x) else 0 for x in ids], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in text], pa.string()),
+                }
                 if with_ids:
-                    columns |= {"ids": pa.array(ids_out, pa.list_(pa.int32())), "decoded": pa.array(text_out, pa.string())}
+                    found = [np.fromstring(bytes(x), np.int32, sep=" ") if len(x) else np.empty(0, np.int32) for x in ids]
+                    columns |= {"ids": pa.array(found, pa.list_(pa.int32())), "decoded": pa.array([str(x, "utf-8") for x in text], pa.string())}
                 yield pa.RecordBatch.from_pydict(columns)
 
     return code
