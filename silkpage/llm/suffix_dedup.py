@@ -1,7 +1,7 @@
 """Repeated byte strings by suffix arrays and their common-prefix interval trees.
 
-repeat_groups() is the core on one block of bytes: a suffix array by prefix doubling,
-the common-prefix lengths of neighbours, and a stack scan over them that visits every
+repeat_groups() is the core on one block of bytes: an array of the suffixes that can
+start a repeat, the common-prefix lengths of neighbours, and a stack scan over them that visits every
 interval of the tree; an interval whose occurrences have different bytes before them
 is a maximal repeat and is given out with all its occurrences.
 
@@ -48,6 +48,8 @@ LENGTH, GRAM = 50, 20
 BUCKET_BYTES, BLOCK_SURROUNDINGS = 4 << 20, 8_000
 #: Different surroundings of one minimizer that stay together in a block.
 HOT = 2_000
+#: Bytes up to which suffixes are compared directly.
+SHORT = 256
 #: Minimizers that a task packs at once, and bytes of text that it hashes at once.
 CHUNK, STEP = 700_000, 1 << 18
 #: Bytes of text in one part of the documents when spans meet their texts, about.
@@ -71,9 +73,23 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, starts: np.ndarray, depth:
     """(suffixes in order, common-prefix lengths with the one before).
 
     text: bytes; ends: for each byte, where its string ends (no suffix reaches beyond);
-    starts: the suffixes to sort; depth: bytes that count. Ranks of 8 bytes are doubled
-    until they cover depth.
+    starts: the suffixes to sort; depth: bytes that count. Up to SHORT bytes are compared
+    eight at a time; beyond, ranks of 7 bytes are doubled until they cover depth.
     """
+    order = _by_bytes(text, ends, starts, depth) if depth <= SHORT else _by_doubling(text, ends, starts, depth)
+    return order, _common(text, ends, order, depth)
+
+
+def _by_bytes(text: np.ndarray, ends: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    width = -(-depth // 8) * 8
+    padded = np.r_[text, np.zeros(width, np.uint8)]
+    rows = padded[starts[:, None] + np.arange(width)]
+    rows[np.arange(width) >= (ends[starts] - starts)[:, None]] = 0  # nothing beyond the end: before all bytes
+    words = rows.view(">u8").astype(np.uint64)
+    return starts[np.lexsort([ends[starts] - starts, *words.T[::-1]])]  # zero bytes and the end alike: the shorter first
+
+
+def _by_doubling(text: np.ndarray, ends: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     padded = np.r_[text, np.zeros(depth + 8, np.uint8)].astype(np.uint64)
     at = np.arange(n)
@@ -89,7 +105,11 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, starts: np.ndarray, depth:
         tail = np.where(nxt < ends, rank[np.minimum(nxt, n)], 0)
         rank = np.r_[np.unique(rank[:n].astype(np.int64) * (n + 2) + tail, return_inverse=True)[1] + 1, 0]
         covered += step
-    order = starts[np.argsort(rank[starts], kind="stable")]
+    return starts[np.argsort(rank[starts], kind="stable")]
+
+
+def _common(text: np.ndarray, ends: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """Bytes that each suffix shares with the one before."""
     a, b = order[:-1], order[1:]
     room = np.minimum(np.minimum(ends[a] - a, ends[b] - b), depth)
     common = np.zeros(len(a), np.int64)
@@ -101,7 +121,7 @@ def suffix_order(text: np.ndarray, ends: np.ndarray, starts: np.ndarray, depth:
         if not len(open_):
             break
         common[open_] = i + 1
-    return order, np.r_[0, common] if len(order) else np.zeros(0, np.int64)
+    return np.r_[0, common] if len(order) else np.zeros(0, np.int64)
 
 
 def intervals(common: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -131,9 +151,22 @@ def repeat_groups(strings: list[bytes], least: int) -> Iterator[tuple[int, np.nd
     owner = np.repeat(np.arange(len(strings)), sizes)
     ends = (first + sizes)[owner]
     starts = np.flatnonzero(ends - np.arange(len(text)) >= least)
-    order, common = suffix_order(text, ends, starts, int(sizes.max()))
     in_front = np.r_[0, text[:-1]].astype(np.int64)
     in_front[first[sizes > 0]] = 256 + np.flatnonzero(sizes > 0)
+    # A suffix whose first `least` bytes nothing else has, or all others of which have the
+    # same byte in front, starts no maximal repeat: most suffixes end here. Equal strings
+    # have equal hashes, so none is lost.
+    hasher = Hasher()
+    hasher.load(text)
+    _, group, members = np.unique(hasher.of(starts, starts + least), return_inverse=True, return_counts=True)
+    by = np.argsort(group, kind="stable")
+    cuts = np.cumsum(members) - members
+    f = in_front[starts][by]
+    open_ = (members > 1) & (np.maximum.reduceat(f, cuts) != np.minimum.reduceat(f, cuts))
+    starts = starts[open_[group]]
+    if not len(starts):
+        return
+    order, common = suffix_order(text, ends, starts, int(sizes.max()))
     front = in_front[order]
     island = np.cumsum(common < least)
     begin = np.flatnonzero(np.r_[True, island[1:] != island[:-1]])
