@@ -33,6 +33,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import struct
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -250,18 +251,24 @@ def _undelta(z: np.ndarray) -> np.ndarray:
 
 
 def pack(h, c, doc, fp, pos, settled) -> bytes:
-    order = np.lexsort((pos, doc))
-    h, c, doc, fp, pos, settled = (x[order] for x in (h, c, doc, fp, pos, settled))
-    return struct.pack("<q", len(h)) + _planes(h, 6) + _planes(c, 6) + _planes(_deltas(doc), 8) + _planes(fp, 4) + _planes(pos.astype(np.uint64), 5) + settled.astype(np.uint8).tobytes()
+    """Hashes are kept only of what is not settled; settled places come last."""
+    order = np.lexsort((pos, doc, settled))
+    h, c, doc, fp, pos = (x[order] for x in (h, c, doc, fp, pos))
+    n = int(len(settled) - settled.sum())
+    return struct.pack("<2q", len(h), n) + _planes(h[:n], 6) + _planes(c[:n], 6) + _planes(_deltas(doc), 8) + _planes(fp, 4) + _planes(pos.astype(np.uint64), 5)
 
 
 def unpack(b: bytes) -> list[np.ndarray]:
-    (n,), at = struct.unpack_from("<q", b), 8
+    """h, c, doc, fp, pos and whether it is settled (h and c are 0 then)."""
+    (total, n), at = struct.unpack_from("<2q", b), 16
     out = []
-    for width in (6, 6, 8, 4, 5):
+    for width in (6, 6):
         x, at = _from_planes(b, at, n, width)
+        out.append(np.r_[x, np.zeros(total - n, np.uint64)])
+    for width in (8, 4, 5):
+        x, at = _from_planes(b, at, total, width)
         out.append(x)
-    return [out[0], out[1], _undelta(out[2]), out[3], out[4].astype(np.int64), np.frombuffer(b, np.uint8, n, at)]
+    return [out[0], out[1], _undelta(out[2]), out[3], out[4].astype(np.int64), np.arange(total) >= n]
 
 
 def settle(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -373,7 +380,6 @@ def _meet(parts: int, length: int, gram: int, most: int):
         """Of one bucket: spans settled as repeats, and open places that need their bytes."""
         unpacked = [unpack(b.as_py()) for b in group.column("blob")]
         h, c, doc, fp, pos, done = (np.concatenate(x) for x in zip(*unpacked, strict=True))
-        done = done > 0
         early = doc[done], fp[done], pos[done]
         h, c, doc, fp, pos = (x[~done] for x in (h, c, doc, fp, pos))
         order, same, settled = settle(h, c, doc)
@@ -479,8 +485,10 @@ def _borders(parts: int, length: int):
 
 def _release(spark: SparkSession) -> None:
     """Shuffle files go when the driver collects their garbage; ask for it between phases."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees in Python lets the second free it in the JVM
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def _prime(n: int) -> int:
