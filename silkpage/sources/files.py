@@ -18,9 +18,9 @@ SITE = "id string, name string, url string, status string, outcome string, pages
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of a fixed schema; a missing folder gives none, a broken record is left out."""
+    """Records of a fixed schema below a path or pattern; a missing folder gives none, a broken record is left out."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
