@@ -2,9 +2,10 @@
 
 A paragraph is a line. Its features are the hashes of its different word n-grams, n = 1
 to 3. A softmax regression over licence families and an unknown class is trained on the
-driver from the fixed wordings below, their parts, and a bounded sample of paragraphs
-of the corpus that have none of the CUES; n-grams that such paragraphs have are no
-features, so that what remains is rare outside licences. The temperature of its
+driver from the fixed wordings below, their parts, and a bounded sample of different
+paragraphs of the corpus that have none of the CUES and are not similar to any of the
+wordings; n-grams that such paragraphs have are no features, so that what remains is
+rare outside licences. The temperature of its
 probabilities is fitted on wordings kept out of training, and a family needs CONFIDENCE.
 A prediction stands only if a wording of the family is found in the paragraph: of the
 shorter of the two, SIMILARITY of the word pairs are shared.
@@ -120,6 +121,21 @@ def _hashed(spark: SparkSession, texts: list[str]) -> list[list[int]]:
     return [list(r.g) for r in sorted(rows, key=lambda r: r.i)]
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _alike(wordings: Column, grams: Column) -> Column:
+    """The largest similarity of different n-grams to one of the wordings; 0 without any."""
+    alike = F.transform(wordings, lambda t: F.size(F.array_intersect(t.getField("g"), grams)) / F.greatest(F.least(F.size(t.getField("g")), F.size(grams)), F.lit(1)))
+    return F.coalesce(F.array_max(alike), F.lit(0.0))
+
+
+def _wordings(known: list[tuple[int, list[int]]]) -> Column:
+    return _constant([{"f": f, "g": g} for f, g in known], "array<struct<f:int,g:array<bigint>>>")
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -128,12 +144,16 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, text: str = "text", negatives: int = NEGATIVES) -> dict:
     """The model: families, features (hash, weights), intercepts, temperature, wordings."""
     spark = docs.sparkSession
-    # About `negatives` documents by a hash of their texts, then that many of their lines.
+    families = [*sorted(WORDINGS), UNKNOWN]
+    known = [(k, s) for k, name in enumerate(families[:-1]) for s in WORDINGS[name]]
+    wordings = [(k, sorted(set(gs))) for (k, _), gs in zip(known, _hashed(spark, [s for _, s in known]), strict=True)]
+    # About `negatives` documents by a hash of their texts, then that many of their different
+    # lines. Lines like a wording are none, however often they occur and whatever their words.
     one_in = max(1, docs.count() // negatives)
     some = docs.filter(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0)
-    lines = some.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("p")).filter(F.trim("p") != "").filter(~F.col("p").rlike(CUES))
+    lines = some.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("p")).filter(F.trim("p") != "").filter(~F.col("p").rlike(CUES)).distinct()
+    lines = lines.filter(_let(F.array_distinct(_let(_tokens(F.col("p")), _grams)), lambda g: _alike(_wordings(wordings), g)) < SIMILARITY)
     sample = [r.p for r in lines.select("p", F.xxhash64("p").alias("h")).orderBy("h", "p").limit(negatives).select("p").collect()]
-    families = [*sorted(WORDINGS), UNKNOWN]
     texts, labels, kept_out = [], [], []
     for k, name in enumerate(families[:-1]):
         for s in WORDINGS[name]:
@@ -169,7 +189,6 @@ def train(docs: DataFrame, text: str = "text", negatives: int = NEGATIVES) -> di
     z = x[out] @ w + b
     losses = {t: -np.log(_softmax(z / t)[np.arange(out.sum()), y[out]] + 1e-12).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
     temperature = min(losses, key=losses.get)
-    wordings = [(k, sorted(set(gs))) for k, name in enumerate(families[:-1]) for gs in _hashed(spark, list(WORDINGS[name]))]
     features = [(h, [round(float(v), 5) for v in w[i]]) for h, i in at.items() if np.abs(w[i]).max() > 1e-4]
     return {"families": families, "features": features, "intercepts": [float(v) for v in b], "temperature": temperature, "wordings": wordings, "held_out_loss": losses[temperature]}
 
@@ -185,15 +204,12 @@ def scan(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     none = len(model["families"]) - 1
     features = _constant([{"h": h, "w": w} for h, w in model["features"]], "array<struct<h:bigint,w:array<double>>>")
     hashes = _constant([h for h, _ in model["features"]], "array<bigint>")
-    wordings = _constant([{"f": f, "g": g} for f, g in model["wordings"]], "array<struct<f:int,g:array<bigint>>>")
+    wordings = _wordings(model["wordings"])
     base = F.array(*[F.lit(v) for v in model["intercepts"]])
     names = F.array(*[F.lit(n) for n in model["families"]])
     body = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("__w", _tokens(body)).withColumn("__any", F.arrays_overlap(_grams(F.col("__w")), hashes))
 
-    def let(value: Column, f) -> Column:
-        return F.element_at(F.transform(F.array(value), f), 1)
-
     def judged(p: Column, found: Column, grams: Column) -> Column:
         z = F.aggregate(
             F.filter(features, lambda m: F.array_contains(found, m.getField("h"))), base, lambda a, m: F.zip_with(a, m.getField("w"), lambda x, y: x + y)
@@ -205,9 +221,7 @@ def scan(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
             prob = 1.0 / F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
 
             def confirmed(best: Column) -> Column:
-                own = F.filter(wordings, lambda t: t.getField("f") == best)
-                alike = F.transform(own, lambda t: F.size(F.array_intersect(t.getField("g"), grams)) / F.least(F.size(t.getField("g")), F.size(grams)))
-                similar = F.coalesce(F.array_max(alike), F.lit(0.0))
+                similar = _alike(F.filter(wordings, lambda t: t.getField("f") == best), grams)
                 sure = (best != none) & (prob >= CONFIDENCE)
                 return F.struct(
                     p.alias("paragraph"),
@@ -217,13 +231,13 @@ def scan(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
                     (sure & (similar >= SIMILARITY)).alias("confirmed"),
                 )
 
-            return let(best, confirmed)
+            return _let(best, confirmed)
 
-        return let(z, rated)
+        return _let(z, rated)
 
     # One lambda variable holds each step's value, so nothing is computed twice.
     def paragraph(p: Column, i: Column) -> Column:
-        return let(_tokens(p), lambda ws: let(F.array_distinct(_grams(ws)), lambda g: let(F.array_intersect(g, hashes), lambda found: F.when(F.size(found) > 0, judged(i, found, g)))))
+        return _let(_tokens(p), lambda ws: _let(F.array_distinct(_grams(ws)), lambda g: _let(F.array_intersect(g, hashes), lambda found: F.when(F.size(found) > 0, judged(i, found, g)))))
 
     hits = F.filter(F.transform(F.split(body, "\n"), paragraph), lambda h: h.isNotNull())
     return df.withColumn("license_hits", F.when(F.col("__any"), hits)).drop("__w", "__any")

@@ -1,7 +1,9 @@
 """Sharding, line quality, license scans and fingerprints."""
 
 import hashlib
+import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -141,6 +143,21 @@ def test_license_edges(spark, edge, nothing, docs):
         assert sure == ({unseen[r.doc_id][1]} if unseen[r.doc_id][1] else set())
 
 
+def test_frequent_license_lines_keep_their_features(spark):
+    """Wordings without cue words, whole and wrapped, in every other text of the corpus."""
+    free = {"cc0": L.WORDINGS["cc0"][1:], "unlicense": L.WORDINGS["unlicense"]}
+    assert not any(re.search(L.CUES, s) for ss in free.values() for s in ss)
+    rng = random.Random(3)
+    plain = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(9))
+    wrapped = [line for ss in L.WORDINGS.values() for s in ss for width in (40, 60, 72) for line in textwrap.wrap(s, width)]
+    texts = [f"{plain()}\n{rng.choice([s for ss in free.values() for s in ss])} {plain().split()[0]}\n{rng.choice(wrapped)}" if k % 2 else plain() for k in range(600)]
+    model = L.train(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    asked = [(name, s) for name, ss in L.WORDINGS.items() for s in ss]
+    df = spark.createDataFrame([(i, f"{plain()}\n{s}\n{plain()}") for i, (_, s) in enumerate(asked)], "doc_id bigint, text string")
+    for r in L.scan(df, model).collect():
+        assert asked[r.doc_id][0] in {h.family for h in r.license_hits or [] if h.confirmed}, asked[r.doc_id]
+
+
 def test_no_python_in_native_plans(spark, sf):
     for f in (S.op1_sharding, Q.op2_line_quality, P.op8_fingerprint, L.op5_license_scan):
         plan = f(spark, sf)._jdf.queryExecution().toString()
