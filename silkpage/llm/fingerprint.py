@@ -1,6 +1,9 @@
 """Document fingerprints as invertible Bloom lookup sketches (native: DataFrame functions only).
 
-A text is cut into paragraphs: lines, and in a line runs of up to four sentences. Each
+A text is cut into paragraphs: lines, and in a line single sentences. What runs on for
+more than LONG characters without a sentence mark is cut where its characters say so,
+so that equal passages get equal cuts wherever they stand: between two words of which the
+second begins as the first ends, else between two equal characters, else after MOST. Each
 different paragraph has a 64-bit digest whose low 16 bits check the others. A sketch has
 three subtables of cells (count, XOR of digests); a digest goes to one cell of each.
 
@@ -27,7 +30,19 @@ from .common import table
 #: Cells of a subtable, size by size; the first is the fingerprint's.
 SIZES = (8, 32, 128, 512, 2048, 8192)
 ROUNDS = 24
-PARAGRAPH = r"(?:[^.!?\n]*[.!?]+[ \t]*){1,4}|[^\n]+"
+MARKS = ".!?。！？｡؟۔।॥։።…"
+#: Characters of a run that stays whole, and the least and most of a part of longer ones.
+LONG, LEAST, MOST = 160, 40, 400
+_IN = rf"[^{MARKS}\n]"
+PARAGRAPH = "|".join(
+    [
+        rf"{_IN}{{0,{LONG}}}+[{MARKS}]+[ \t]*",
+        rf"{_IN}{{1,{LONG}}}+(?![^\n])",
+        rf"{_IN}{{{LEAST},{MOST}}}?([^{MARKS} \t\n])[ \t]+(?=\1)",
+        rf"{_IN}{{{LEAST},{MOST}}}?([^{MARKS}\n])(?=\2)",
+        rf"{_IN}{{1,{MOST}}}",
+    ]
+)
 
 
 def digests(text: Column) -> Column:

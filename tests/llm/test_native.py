@@ -112,6 +112,30 @@ def test_next_and_edges(spark, edge, nothing):
     assert alone.next_text == "x"
 
 
+def test_an_edit_leaves_the_rest_of_a_text_alike(spark):
+    """One line of sentences, of other scripts' sentences, without any mark, without spaces."""
+    rng = random.Random(4)
+    word = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(2, 7)))
+    run = lambda n, a="abcdefgh": " ".join(word(a) for _ in range(n))
+    kanji = "".join(map(chr, range(0x4E00, 0x4E40)))
+    made = {
+        "sentences": lambda: " ".join(run(9) + "." for _ in range(6)),
+        "other marks": lambda: "。".join(word(kanji) * 3 for _ in range(9)),
+        "no marks": lambda: run(300),
+        "no spaces": lambda: "".join(word(kanji) for _ in range(600)),
+        "astral": lambda: run(300, "😀😁😂😃😄abc"),
+    }
+    rows = []
+    for name, make in made.items():
+        t, other = make(), make()
+        rows += [(name, t, t[: len(t) * 2 // 3] + other[: len(t) // 3]), (name + ", moved", t, "new words " + t)]
+    df = spark.createDataFrame(rows, "name string, a string, b string").withColumns({"da": P.digests(F.col("a")), "db": P.digests(F.col("b"))})
+    for r in df.collect():
+        a, b = set(r.da), set(r.db)
+        assert len(a & b) / len(a | b) == likeness(r.a, r.b) and likeness(r.a, r.b) > 0.3, r.name
+        assert "".join(m[0] for m in re.finditer(P.PARAGRAPH, r.a)) == r.a
+
+
 def test_retry_to_the_largest_size(spark):
     a, b = "\n".join(f"line {i} of a" for i in range(900)), "\n".join(f"line {i} of b" for i in range(900)) + "\nshared"
     df = spark.createDataFrame([(a, b), (a, a), ("", "x"), ("", "")], "a string, b string")
