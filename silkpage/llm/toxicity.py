@@ -45,16 +45,29 @@ LEXICON = (
 )
 STYLE = ("~shouting", "~exclaiming", "~insulting_you")
 WORD = re.compile(r"[^\W\d_]+")
+ASCII = bytes(range(128))
+UPPER = bytes(range(65, 91))
+LETTERS = UPPER + bytes(range(97, 123))
 
 
 def word_features(word: str) -> list[str]:
     return [word, *[word[:n] + "~" for n in PREFIXES if len(word) >= n]]
 
 
+def upper_and_letters(text: str) -> tuple[int, int]:
+    """Upper-case characters and letters of the whole text; those of ASCII are counted as bytes."""
+    raw = text.encode("utf-8", "surrogatepass")
+    rest = raw.translate(None, ASCII).decode("utf-8", "surrogatepass")
+    upper, letters = (len(raw) - len(raw.translate(None, kind)) for kind in (UPPER, LETTERS))
+    return upper + sum(map(str.isupper, rest)), letters + sum(map(str.isalpha, rest))
+
+
 def style_features(text: str, words: list[str]) -> list[str]:
     out = []
-    if len(text) > 40 and sum(map(str.isupper, text[:: max(1, len(text) // 400)])) > 0.5 * sum(map(str.isalpha, text[:: max(1, len(text) // 400)])) > 0:
-        out.append(STYLE[0])
+    if len(text) > 40:
+        upper, letters = upper_and_letters(text)
+        if upper > 0.5 * letters > 0:
+            out.append(STYLE[0])
     if text.count("!") * 20 > len(words) > 0:
         out.append(STYLE[1])
     if re.search(r"\byou(?:'re| are)? (?:an? )?(?:" + "|".join(LEXICON) + r")\b", text, re.I):

@@ -194,6 +194,13 @@ def test_op10(spark, docs, edge, nothing):
     assert ranked[5] > 0.5 > ranked[1]
 
 
+def test_shouting_counts_the_whole_text():
+    for t in ("Ab" * 500, "aB" * 500, "ABc" * 500, "Abc" * 500, "ÄÖß" * 500, "äöÜ" * 500, ("Q" + "z" * 9) * 1000, "日本" * 500, "Ⅷ1 " * 500, "\ud800A" * 400):
+        upper, letters = sum(map(str.isupper, t)), sum(map(str.isalpha, t))
+        assert X.upper_and_letters(t) == (upper, letters)
+        assert (X.STYLE[0] in X.style_features(t, [])) == (upper > 0.5 * letters > 0), t[:6]
+
+
 def test_held_out_is_never_learned(spark):
     rows = [(k, "plain words here") for k in range(40)]
     lab = [(k, 1 if zlib.crc32(str(k).encode()) % 5 == 0 else 0) for k in range(40)]
