@@ -19,7 +19,8 @@ Defined cases: tokens are runs without white space, a null text has none; docume
 without tokens belong to every full pass, and to a prefix like others; null domain,
 lang or source are values of their own; rows equal in doc_id and text tie and are
 ordered by nothing else (both are taken, or the order between them does not matter);
-zero weights take nothing; names not in a weight table weigh 1.
+zero weights take nothing; names not in a weight table weigh 1. ANY in a weight path is
+every name, a null one too; a path without it goes before.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import table, words
 
+#: In a path of a weight table: every name.
+ANY = ...
 SLICES = 4096
 SEED = 7
 #: The mix of the registered query: share of all tokens, and target weights by language.
@@ -58,6 +61,11 @@ def split(budget: float, weights: Mapping, room: Mapping) -> dict:
     return given
 
 
+def weight(path: tuple, weights: Mapping[tuple, float]) -> float:
+    """The weight of a node: its own, else that of its name in every parent, else 1."""
+    return weights.get(path, weights.get((*[ANY] * (len(path) - 1), path[-1]), 1.0))
+
+
 def plan(leaves: Mapping[tuple, float], budget: float, weights: Mapping[tuple, float]) -> dict[tuple, float]:
     """Budget of each leaf path. leaves: path -> room; weights: path or its beginning -> weight.
 
@@ -69,7 +77,7 @@ def plan(leaves: Mapping[tuple, float], budget: float, weights: Mapping[tuple, f
         children: dict[tuple, list[tuple]] = {}
         for m in sorted(members, key=str):
             children.setdefault(m[: len(prefix) + 1], []).append(m)
-        shares = split(budget, {c: weights.get(c, 1.0) for c in children}, {c: sum(leaves[m] for m in ms) for c, ms in children.items()})
+        shares = split(budget, {c: weight(c, weights) for c in children}, {c: sum(leaves[m] for m in ms) for c, ms in children.items()})
         out: dict[tuple, float] = {}
         for c, ms in children.items():
             out |= go(c, shares[c], ms)
@@ -145,7 +153,8 @@ def mix(
     return done.filter("__copies > 0").drop("__rest", "__at", "__slice", "__edge", "__edge_before", "__more", "__lang", "__source")
 
 
-def lang_weights(domain: str = "src") -> dict[tuple, float]:
+def lang_weights(domain=ANY) -> dict[tuple, float]:
+    """The target weights by language, in one domain or in every one."""
     return {(domain, k): v for k, v in LANG_WEIGHTS.items()}
 
 

@@ -126,6 +126,20 @@ def test_siblings_before_ancestors():
     assert got[("d", "en", "s1")] + got[("d", "en", "s2")] == 110 and got[("d", "de", "s1")] == 50
 
 
+def test_language_targets_hold_in_every_domain(spark):
+    names = ["src1", "web7", "books", None]
+    leaves = {(d, k, d): 1000.0 for d in names for k in M.LANG_WEIGHTS}
+    got = M.plan(leaves, 400, M.lang_weights())
+    assert all(abs(got[(d, k, d)] - 100 * w) < 1e-6 for d in names for k, w in M.LANG_WEIGHTS.items())
+    assert M.plan(leaves, 400, M.lang_weights() | {("books", "en"): 0.0})[("books", "en", "books")] == 0
+    rows = [(i, "one two three four", k, d) for i, (d, k) in enumerate((d, k) for d in names for k in M.LANG_WEIGHTS for _ in range(100))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    taken = {}
+    for r in M.mix(df, budget_share=0.25, weights=M.lang_weights(), max_epochs=1).collect():
+        taken[(r.source, r.lang)] = taken.get((r.source, r.lang), 0) + r["__copies"]
+    assert taken == {(d, k): round(100 * w) for d in names for k, w in M.LANG_WEIGHTS.items()}
+
+
 def brute_mix(rows, budgets, seed_order, epochs):
     """Copies of each document, leaf by leaf, in the seeded order."""
     out = {}
