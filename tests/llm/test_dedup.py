@@ -66,6 +66,12 @@ def test_near_edges(edge, nothing):
     assert N.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("percent", [0, 50, 79])
+def test_percent_outside_the_bounds_is_refused(edge, percent):
+    with pytest.raises(ValueError):
+        N.near_duplicates(edge, percent=percent)
+
+
 def test_odd_sketch_bounds():
     rng = np.random.default_rng(1)
     for n in (40, 400, 5000):
