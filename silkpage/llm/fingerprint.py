@@ -100,9 +100,6 @@ def subtract(a: Column, b: Column) -> Column:
 def peel(cells: Column, size: int) -> Column:
     """Number of digests recovered from a difference of sketches, null if cells remain."""
 
-    def places(x: Column) -> list[Column]:
-        return [_place(x, s, size) + s * size for s in range(3)]
-
     def pure(c: Column) -> Column:
         """Different (digest, sign) of the cells that hold one."""
         ones = F.filter(c, lambda x: (F.abs(x.getField("n")) == 1) & (x.getField("k").bitwiseAND(F.lit(0xFFFF)) == _check(x.getField("k"))))
@@ -110,21 +107,27 @@ def peel(cells: Column, size: int) -> Column:
 
     def without(c: Column, ones: Column) -> Column:
         """Cells after these digests are taken out of the three cells of each."""
-        hits = F.flatten(F.transform(ones, lambda x: F.array(*places(x.getField("k")))))
+        block = 1 << (size.bit_length() // 2)
+
+        def out(x: Column, mine: Column) -> Column:
+            return F.aggregate(
+                mine,
+                x,
+                lambda a, p: F.struct((a.getField("n") - p.getField("n")).alias("n"), a.getField("k").bitwiseXOR(p.getField("k")).alias("k")),
+            )
 
-        def cell(hit: Column) -> Column:
-            def one(x: Column, i: Column) -> Column:
-                mine = F.filter(ones, lambda p: _is_at(p.getField("k"), i, size))
-                out = F.aggregate(
-                    mine,
-                    x,
-                    lambda a, p: F.struct((a.getField("n") - p.getField("n")).alias("n"), a.getField("k").bitwiseXOR(p.getField("k")).alias("k")),
-                )
-                return F.when(F.array_contains(hit, i), out).otherwise(x)
+        def of(sub: int) -> Column:
+            """A subtable, block of cells after block, as build() deals digests."""
 
-            return F.transform(c, one)
+            def one(b: Column) -> Column:
+                own = F.slice(c, b * block + (sub * size + 1), F.lit(block))
+                near = F.filter(ones, lambda p: F.floor(_place(p.getField("k"), sub, size) / block) == b)
+                cell = lambda ds: F.transform(own, lambda x, i: out(x, F.filter(ds, lambda p: _place(p.getField("k"), sub, size) == b * block + i)))
+                return _let(near, lambda ds: F.when(F.size(ds) == 0, own).otherwise(cell(ds)))
 
-        return _let(hits, cell)
+            return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size // block - 1)), one))
+
+        return F.concat(*[of(k) for k in range(3)])
 
     start = F.struct(cells.alias("c"), F.lit(0).alias("found"), F.lit(True).alias("more"))
 
@@ -145,14 +148,6 @@ def peel(cells: Column, size: int) -> Column:
     )
 
 
-def _is_at(x: Column, i: Column, size: int) -> Column:
-    sub = F.floor(i / size).cast("int")
-    place = F.shiftrightunsigned(x, 16).bitwiseAND(F.lit(size - 1))
-    for s in (1, 2):
-        place = F.when(sub == s, F.shiftrightunsigned(x, 16 * (s + 1)).bitwiseAND(F.lit(size - 1))).otherwise(place)
-    return place == i - sub * size
-
-
 def _let(value: Column, f) -> Column:
     """f(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), f), 1)
