@@ -5,18 +5,23 @@ more than LONG characters without a sentence mark is cut where its characters sa
 so that equal passages get equal cuts wherever they stand: between two words of which the
 second begins as the first ends, else between two equal characters, else after MOST. Each
 different paragraph has a 64-bit digest whose low 16 bits check the others. A sketch has
-three subtables of cells (count, XOR of digests); a digest goes to one cell of each.
+three subtables of CELLS cells (count, XOR of digests); a digest goes to one cell of each.
 
-Two versions are compared by their sketches alone: cells are subtracted, a cell that
+Two versions are compared by their sketches: cells are subtracted, a cell that
 holds one digest gives it up, its digest is taken out of its other cells, and so on
 until nothing is left: all digests that only one version has. Where cells remain, the
-sketches were too small, and both are built again with four times the cells. Beyond
-the largest size the digests are compared as sets, so every pair gets its result.
+sketches were too small. Then larger ones are made, of as many blocks of such cells as the
+failed difference calls for (the squares of its counts estimate how many digests differ),
+a digest's own bits naming its block. Each block is subtracted and peeled by itself, and
+one that fails is made again four times as large, until its digests' bits are used up: the
+work grows with the digests, whatever the length of a text.
 
 likeness = shared / all digests of both versions (two empty texts: 1).
 
 Defined cases: a null text is an empty one, with no paragraphs; equal texts have equal
-fingerprints; repeated paragraphs count once. Of the next document: descending doc_id,
+fingerprints; repeated paragraphs count once. Three or more differing digests that agree
+in all bits that name blocks (probability below 1e-18 a pair of texts) would count without
+being peeled. Of the next document: descending doc_id,
 null last, equal ids by text; the first follows the last; a single row is its own next.
 """
 
@@ -27,22 +32,22 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Cells of a subtable, size by size; the first is the fingerprint's.
-SIZES = (8, 32, 128, 512, 2048, 8192)
-ROUNDS = 24
+#: Cells of a subtable, and differing digests that a block of three of them is made for.
+CELL_BITS = 3
+CELLS, LOAD = 1 << CELL_BITS, 6
+#: Of a digest's bits: the check, the places in the three subtables, the block.
+CHECK_BITS = 16
+BLOCK_AT = CHECK_BITS + 3 * CELL_BITS
+#: Enough rounds to empty a block, and enough enlargements to use up all block bits.
+ROUNDS, GROWTHS = 3 * CELLS, (64 - BLOCK_AT + 1) // 2
+#: Ranges of doc_id in which neighbours meet.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 50_000, 1024, 1 << 16
 MARKS = ".!?。！？｡؟۔।॥։።…"
 #: Characters of a run that stays whole, and the least and most of a part of longer ones.
 LONG, LEAST, MOST = 160, 40, 400
-_IN = rf"[^{MARKS}\n]"
-PARAGRAPH = "|".join(
-    [
-        rf"{_IN}{{0,{LONG}}}+[{MARKS}]+[ \t]*",
-        rf"{_IN}{{1,{LONG}}}+(?![^\n])",
-        rf"{_IN}{{{LEAST},{MOST}}}?([^{MARKS} \t\n])[ \t]+(?=\1)",
-        rf"{_IN}{{{LEAST},{MOST}}}?([^{MARKS}\n])(?=\2)",
-        rf"{_IN}{{1,{MOST}}}",
-    ]
-)
+#: Where sentences and lines end, and the parts of a long one.
+SENTENCES = rf"(?<=[{MARKS}])(?![{MARKS}])|\n"
+PARTS = rf"(?s).{{{LEAST},{MOST}}}?(\S)[ \t]+(?=\1)|.{{{LEAST},{MOST}}}?(\S)(?=\2)|.{{1,{MOST}}}"
 
 
 def digests(text: Column) -> Column:
@@ -52,100 +57,87 @@ def digests(text: Column) -> Column:
         high = F.xxhash64(p).bitwiseAND(F.lit(~0xFFFF))
         return high.bitwiseOR(_check(high))
 
-    parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARAGRAPH), F.lit(0))
-    return F.sort_array(F.array_distinct(F.transform(F.filter(parts, lambda p: F.trim(p) != F.lit("")), lambda p: digest(F.trim(p)))))
+    pieces = F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCES), lambda p: F.trim(p))
+    cut = F.transform(pieces, lambda p: F.when(F.char_length(p) <= LONG, F.array(p)).otherwise(F.transform(F.regexp_extract_all(p, F.lit(PARTS), F.lit(0)), lambda x: F.trim(x))))
+    return F.sort_array(F.array_distinct(F.transform(F.filter(F.flatten(cut), lambda p: p != F.lit("")), digest)))
 
 
 def _check(x: Column) -> Column:
     return F.pmod(F.hash(F.shiftrightunsigned(x, 16)), F.lit(65536)).cast("bigint")
 
 
-def _place(x: Column, sub: int, size: int) -> Column:
-    """The cell of a digest in a subtable: other bits of it for each."""
-    return F.shiftrightunsigned(x, 16 * (sub + 1)).bitwiseAND(F.lit(size - 1)).cast("int")
+def _own(xs: Column, sub: int, cell: Column, of=lambda x: x) -> Column:
+    """Those whose digest has its place in this cell of a subtable; cell: one of _cells()."""
+    mask = F.lit((CELLS - 1) << (CHECK_BITS + CELL_BITS * sub))
+    return F.filter(xs, lambda x: of(x).bitwiseAND(mask) == cell)
 
 
-def _xor(xs: Column, start: Column) -> Column:
-    return F.aggregate(xs, start, lambda a, x: a.bitwiseXOR(x))
+def _cells(sub: int) -> Column:
+    """The bits of a digest that name the cells of a subtable."""
+    return F.array(*[F.lit(i << (CHECK_BITS + CELL_BITS * sub)).cast("bigint") for i in range(CELLS)])
 
 
-def build(d: Column, size: int) -> Column:
-    """Struct of n (counts) and k (XORs), subtable after subtable, of the digests d.
+def _bits(x: Column, at: Column, n: Column) -> Column:
+    """The number that a digest's bits from `at` on name, modulo a power of two."""
+    return F.call_function("shiftrightunsigned", x, at).bitwiseAND(n - 1)
 
-    Digests are first dealt to blocks of cells, then to the cells, so that a cell is
-    not compared with every digest."""
-    block = 1 << (size.bit_length() // 2)
 
-    def of(sub: int, f) -> Column:
-        def cells(b: Column) -> Column:
-            near = F.filter(d, lambda x: F.floor(_place(x, sub, size) / block) == b)
-            mine = lambda ds, i: F.filter(ds, lambda x: _place(x, sub, size) == b * block + i)
-            inside = lambda ds: F.transform(F.sequence(F.lit(0), F.lit(block - 1)), lambda i: f(mine(ds, i)))
-            return F.element_at(F.transform(F.array(near), inside), 1)
+def _cell(n: Column, k: Column) -> Column:
+    return F.struct(n.alias("n"), k.alias("k"))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size // block - 1)), cells))
 
-    def both(xs: Column) -> Column:
-        return F.struct(F.size(xs).alias("n"), _xor(xs, F.lit(0).cast("bigint")).alias("k"))
+def build(d: Column) -> Column:
+    """Cells (n: count, k: XOR), subtable after subtable, of the digests d."""
 
-    return F.concat(*[of(s, both) for s in range(3)])
+    held = lambda xs: _cell(F.size(xs), F.aggregate(xs, F.lit(0).cast("bigint"), lambda k, x: k.bitwiseXOR(x)))
+    table_of = lambda sub: F.transform(_cells(sub), lambda v: _let(_own(d, sub, v), held))
+    return F.concat(*[table_of(sub) for sub in range(3)])
+
+
+def _less(x: Column, y: Column) -> Column:
+    """A cell without another's digests."""
+    return _cell(x.getField("n") - y.getField("n"), x.getField("k").bitwiseXOR(y.getField("k")))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(
-        a, b, lambda x, y: F.struct((x.getField("n") - y.getField("n")).alias("n"), x.getField("k").bitwiseXOR(y.getField("k")).alias("k"))
-    )
+    return F.zip_with(a, b, _less)
 
 
-def peel(cells: Column, size: int) -> Column:
+def peel(cells: Column) -> Column:
     """Number of digests recovered from a difference of sketches, null if cells remain."""
 
-    def pure(c: Column) -> Column:
-        """Different (digest, sign) of the cells that hold one."""
-        ones = F.filter(c, lambda x: (F.abs(x.getField("n")) == 1) & (x.getField("k").bitwiseAND(F.lit(0xFFFF)) == _check(x.getField("k"))))
-        return F.array_distinct(ones)
+    def pure(c: Column, sub: int) -> Column:
+        """The cells of a subtable that hold one digest: different digests, with their signs."""
+        own = F.slice(c, sub * CELLS + 1, CELLS)
+        return F.filter(own, lambda x: (F.abs(x.getField("n")) == 1) & (x.getField("k").bitwiseAND(F.lit(0xFFFF)) == _check(x.getField("k"))))
 
     def without(c: Column, ones: Column) -> Column:
         """Cells after these digests are taken out of the three cells of each."""
-        block = 1 << (size.bit_length() // 2)
-
-        def out(x: Column, mine: Column) -> Column:
-            return F.aggregate(
-                mine,
-                x,
-                lambda a, p: F.struct((a.getField("n") - p.getField("n")).alias("n"), a.getField("k").bitwiseXOR(p.getField("k")).alias("k")),
-            )
 
         def of(sub: int) -> Column:
-            """A subtable, block of cells after block, as build() deals digests."""
+            left = lambda x, v: F.aggregate(_own(ones, sub, v, lambda p: p.getField("k")), x, _less)
+            return F.zip_with(F.slice(c, sub * CELLS + 1, CELLS), _cells(sub), left)
 
-            def one(b: Column) -> Column:
-                own = F.slice(c, b * block + (sub * size + 1), F.lit(block))
-                near = F.filter(ones, lambda p: F.floor(_place(p.getField("k"), sub, size) / block) == b)
-                cell = lambda ds: F.transform(own, lambda x, i: out(x, F.filter(ds, lambda p: _place(p.getField("k"), sub, size) == b * block + i)))
-                return _let(near, lambda ds: F.when(F.size(ds) == 0, own).otherwise(cell(ds)))
+        return F.concat(*[of(sub) for sub in range(3)])
 
-            return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size // block - 1)), one))
-
-        return F.concat(*[of(k) for k in range(3)])
-
-    start = F.struct(cells.alias("c"), F.lit(0).alias("found"), F.lit(True).alias("more"))
+    def taken(state: Column, sub: int) -> Column:
+        """The state after the digests that one subtable gives up."""
 
-    def step(state: Column, _: Column) -> Column:
         def go(ones: Column) -> Column:
-            none = F.size(ones) == 0
-            return F.struct(
-                F.when(none, state.getField("c")).otherwise(without(state.getField("c"), ones)).alias("c"),
-                (state.getField("found") + F.size(ones)).alias("found"),
-                (~none).alias("more"),
+            return F.when(F.size(ones) == 0, state).otherwise(
+                F.struct(without(state.getField("c"), ones).alias("c"), (state.getField("found") + F.size(ones)).alias("found"), F.lit(True).alias("more"))
             )
 
-        return F.when(state.getField("more"), _let(pure(state.getField("c")), go)).otherwise(state)
+        return _let(pure(state.getField("c"), sub), go)
+
+    def step(state: Column, _: Column) -> Column:
+        fresh = F.struct(state.getField("c").alias("c"), state.getField("found").alias("found"), F.lit(False).alias("more"))
+        through = _let(taken(fresh, 0), lambda one: _let(taken(one, 1), lambda two: taken(two, 2)))
+        return F.when(state.getField("more"), through).otherwise(state)
 
-    empty = lambda c: ~F.exists(c, lambda x: (x.getField("n") != 0) | (x.getField("k") != 0))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(empty(s.getField("c")), s.getField("found"))
-    )
+    start = F.struct(cells.alias("c"), F.lit(0).alias("found"), F.lit(True).alias("more"))
+    full = lambda c: F.exists(c, lambda x: (x.getField("n") != 0) | (x.getField("k") != 0))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(~full(s.getField("c")), s.getField("found")))
 
 
 def _let(value: Column, f) -> Column:
@@ -153,32 +145,81 @@ def _let(value: Column, f) -> Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def _deal(d: Column, blocks: Column) -> Column:
+    """The digests of each block; a power of two of them, dealt in two steps so that a
+    block is not compared with every digest."""
+    at = F.lit(BLOCK_AT)
+    inner = F.pow(F.lit(2), F.ceil(F.log2(blocks) / 2)).cast("bigint")
+    outer = (blocks / inner).cast("bigint")
+
+    def some(j: Column) -> Column:
+        near = F.filter(d, lambda x: (_bits(x, at, blocks) / inner).cast("bigint") == j)
+        return _let(near, lambda ds: F.transform(F.sequence(F.lit(0).cast("bigint"), inner - 1), lambda i: F.filter(ds, lambda x: _bits(x, at, inner) == i)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), outer - 1), some))
+
+
+def _both(a: Column, b: Column) -> Column:
+    return F.struct(a.alias("a"), b.alias("b"))
+
+
+def larger(a: Column, b: Column, failed: Column) -> Column:
+    """Number of the digests that differ, by sketches of many blocks; failed: the difference
+    of the single blocks."""
+    squares = F.aggregate(failed, F.lit(0).cast("bigint"), lambda n, x: n + x.getField("n").cast("bigint") * x.getField("n")) / 3
+    wanted = F.greatest(F.least(squares, F.size(a) + F.size(b)) / LOAD, F.lit(4))
+
+    def all_blocks(blocks: Column) -> Column:
+        start = F.struct(
+            F.zip_with(_deal(a, blocks), _deal(b, blocks), _both).alias("open"),
+            F.lit(0).cast("bigint").alias("found"),
+            (F.lit(BLOCK_AT) + F.log2(blocks).cast("int")).alias("at"),
+        )
+
+        def grow(state: Column, _: Column) -> Column:
+            tried = lambda p: F.struct(p.alias("p"), peel(subtract(build(p.getField("a")), build(p.getField("b")))).alias("f"))
+
+            def four(p: Column) -> Column:
+                part = lambda ds, i: F.filter(ds, lambda x: _bits(x, state.getField("at"), F.lit(4)) == i)
+                return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: _both(part(p.getField("p").getField("a"), i), part(p.getField("p").getField("b"), i)))
+
+            def judged(results: Column) -> Column:
+                return F.struct(
+                    F.flatten(F.transform(F.filter(results, lambda r: r.getField("f").isNull()), four)).alias("open"),
+                    F.aggregate(results, state.getField("found"), lambda n, r: n + F.coalesce(r.getField("f"), F.lit(0))).alias("found"),
+                    (state.getField("at") + 2).alias("at"),
+                )
+
+            return F.when(F.size(state.getField("open")) == 0, state).otherwise(_let(F.transform(state.getField("open"), tried), judged))
+
+        rest = lambda s: F.aggregate(s.getField("open"), s.getField("found"), lambda n, p: n + F.size(p.getField("a")) + F.size(p.getField("b")))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(GROWTHS)), start, grow, rest)
+
+    return _let(F.pow(F.lit(2), F.ceil(F.log2(wanted))).cast("bigint"), all_blocks)
+
+
 def as_text(n: Column, cells: Column) -> Column:
     """The fingerprint: number of digests, then each cell's count and XOR in hexadecimal."""
     return F.concat(n.cast("string"), F.lit(":"), F.array_join(F.transform(cells, lambda x: F.concat_ws(".", x.getField("n").cast("string"), F.lower(F.hex(x.getField("k"))))), ","))
 
 
 def with_likeness(df: DataFrame, a: str, b: str, cells_a: str, cells_b: str, out: str) -> DataFrame:
-    """df with out: likeness of two sketches; a, b: digests, cells_*: first-size sketches."""
-    df = df.withColumn("__diff", subtract(F.col(cells_a), F.col(cells_b))).withColumn("__found", peel(F.col("__diff"), SIZES[0])).drop("__diff")
-    for size in SIZES[1:]:
-        failed = F.col("__found").isNull()
-        df = df.withColumns({"__x": F.when(failed, build(F.col(a), size)), "__y": F.when(failed, build(F.col(b), size))})
-        df = df.withColumn("__d", F.when(failed, subtract(F.col("__x"), F.col("__y")))).withColumn("__found", F.coalesce("__found", F.when(failed, peel(F.col("__d"), size))))
-        df = df.drop("__x", "__y", "__d")
-    rest = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    differ = F.coalesce("__found", rest)
+    """df with out: likeness of two sketches; a, b: digests, cells_*: their single blocks."""
+    differ = _let(subtract(F.col(cells_a), F.col(cells_b)), lambda c: _let(peel(c), lambda n: F.coalesce(n.cast("bigint"), larger(F.col(a), F.col(b), c))))
     both = F.size(a) + F.size(b)
-    return df.withColumn(out, F.when(both == 0, 1.0).otherwise((both - differ) / (both + differ)).cast("double")).drop("__found")
+    return df.withColumn("__found", differ).withColumn(out, F.when(both == 0, 1.0).otherwise((both - F.col("__found")) / (both + F.col("__found"))).cast("double")).drop("__found")
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slices: int = 1024) -> DataFrame:
-    """docs (doc_id, text) with next_text, the text of the next row in descending doc_id.
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slices: int | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
+    """docs (doc_id, text, the columns `carry` computed from text) with next_text and next_*,
+    those of the next row in descending doc_id.
 
     Rows are dealt to ranges of doc_id at quantiles, so that neighbours meet without one
     order of all rows; each range ends with a copy of the first row of the next one (at
-    most `slices` rows, known from the ranges' largest ids)."""
+    most `slices` rows, known from the ranges' largest ids). Without `slices` there is a
+    range for about RANGE_ROWS rows, between LEAST_RANGES and MOST_RANGES of them."""
     small = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    slices = slices or min(MOST_RANGES, max(LEAST_RANGES, small.count() // RANGE_ROWS))
     side = int(slices**0.5)
     quantiles = [k / (side * side) for k in range(1, side * side)]
     at = small.filter("doc_id is not null").approxQuantile("doc_id", quantiles, 1 / (8 * side * side)) or [0.0]
@@ -192,25 +233,26 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slice
     ranged = small.withColumn("__g", g).withColumn(
         "__range", F.when(F.col("doc_id").isNull(), -1).when(F.col("__g") == 0, 0).otherwise((F.col("__g") - 1) * side + inner)
     ).drop("__g")
+    carry = carry or {}
     tops_of = ranged.groupBy("__range").agg(F.max("doc_id").alias("first")).orderBy(F.desc("__range")).collect()
-    if not tops_of:
-        return ranged.select("doc_id", "text", F.lit(None).cast("string").alias("next_text"))
     follow = [(r["__range"], tops_of[(k + 1) % len(tops_of)]["first"]) for k, r in enumerate(tops_of)]
     firsts = docs.sparkSession.createDataFrame(follow, "__range int, __first bigint")
     copies = small.join(F.broadcast(firsts), small.doc_id.eqNullSafe(firsts["__first"])).select("doc_id", "text", "__range", F.lit(1).alias("__copy"))
-    rows = ranged.select("doc_id", "text", "__range", F.lit(0).alias("__copy")).union(copies)
+    rows = ranged.select("doc_id", "text", "__range", F.lit(0).alias("__copy")).union(copies).withColumns(carry)
     order = Window.partitionBy("__range").orderBy("__copy", F.col("doc_id").desc_nulls_last(), "text")
-    return rows.withColumn("next_text", F.lead(F.coalesce("text", F.lit(""))).over(order)).filter("__copy = 0").select("doc_id", "text", "next_text")
+    lead = {"next_text": F.lead(F.coalesce("text", F.lit(""))).over(order)} | {f"next_{c}": F.lead(c).over(order) for c in carry}
+    return rows.withColumns(lead).filter("__copy = 0").select("doc_id", "text", *carry, *lead)
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = with_next(table(spark, sf_dir, "documents")).withColumns({"text": F.coalesce("text", F.lit("")), "next_text": F.coalesce("next_text", F.lit(""))})
+    body = F.coalesce("text", F.lit(""))
+    near = with_next(table(spark, sf_dir, "documents"), carry={"da": digests(F.col("text"))}).withColumns({"text": body, "next_text": F.coalesce("next_text", F.lit(""))})
     near = near.withColumn("n_chars", F.char_length("text").cast("long"))
     k = F.floor(F.col("n_chars") / 3).cast("int")
     near = near.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - k), F.substring("next_text", F.lit(1), k)))
-    near = near.withColumns({"da": digests(F.col("text")), "de": digests(F.col("edited")), "dn": digests(F.col("next_text")), "edited_sha256": F.sha2(F.encode("edited", "UTF-8"), 256)})
-    near = near.select("doc_id", "n_chars", "edited_sha256", "da", "de", "dn")
-    near = near.withColumns({f"c{x}": build(F.col(f"d{x}"), SIZES[0]) for x in "aen"})
+    near = near.withColumns({"de": digests(F.col("edited")), "edited_sha256": F.sha2(F.encode("edited", "UTF-8"), 256)})
+    near = near.select("doc_id", "n_chars", "edited_sha256", "da", "de", F.col("next_da").alias("dn"))
+    near = near.withColumns({f"c{x}": build(F.col(f"d{x}")) for x in "aen"})
     near = near.withColumns({"fingerprint": as_text(F.size("da"), F.col("ca")), "edited_fingerprint": as_text(F.size("de"), F.col("ce"))})
     near = with_likeness(near, "da", "de", "ca", "ce", "near_edited")
     near = with_likeness(near, "da", "dn", "ca", "cn", "near_next")

@@ -136,11 +136,11 @@ def test_an_edit_leaves_the_rest_of_a_text_alike(spark):
         assert "".join(m[0] for m in re.finditer(P.PARAGRAPH, r.a)) == r.a
 
 
-def test_retry_to_the_largest_size(spark):
+def test_retries_with_more_and_more_blocks(spark):
     a, b = "\n".join(f"line {i} of a" for i in range(900)), "\n".join(f"line {i} of b" for i in range(900)) + "\nshared"
     df = spark.createDataFrame([(a, b), (a, a), ("", "x"), ("", "")], "a string, b string")
     df = df.withColumns({"da": P.digests(F.col("a")), "db": P.digests(F.col("b"))})
-    df = df.withColumns({"ca": P.build(F.col("da"), P.SIZES[0]), "cb": P.build(F.col("db"), P.SIZES[0])})
+    df = df.withColumns({"ca": P.build(F.col("da")), "cb": P.build(F.col("db"))})
     got = [r.l for r in P.with_likeness(df, "da", "db", "ca", "cb", "l").select("l").collect()]
     assert got == [likeness(a, b), 1.0, 0.0, 1.0]
 
