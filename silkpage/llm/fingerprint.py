@@ -6,6 +6,7 @@ so that equal passages get equal cuts wherever they stand: between two words of
 second begins as the first ends, else between two equal characters, else after MOST. Each
 different paragraph has a 64-bit digest whose low 16 bits check the others. A sketch has
 three subtables of CELLS cells (count, XOR of digests); a digest goes to one cell of each.
+Counts tell how large a retry must be; checks and places tell which cells hold one digest.
 
 Two versions are compared by their sketches: cells are subtracted, a cell that
 holds one digest gives it up, its digest is taken out of its other cells, and so on
@@ -66,10 +67,8 @@ def _check(x: Column) -> Column:
     return F.pmod(F.hash(F.shiftrightunsigned(x, 16)), F.lit(65536)).cast("bigint")
 
 
-def _own(xs: Column, sub: int, cell: Column, of=lambda x: x) -> Column:
-    """Those whose digest has its place in this cell of a subtable; cell: one of _cells()."""
-    mask = F.lit((CELLS - 1) << (CHECK_BITS + CELL_BITS * sub))
-    return F.filter(xs, lambda x: of(x).bitwiseAND(mask) == cell)
+def _mask(sub: int) -> int:
+    return (CELLS - 1) << (CHECK_BITS + CELL_BITS * sub)
 
 
 def _cells(sub: int) -> Column:
@@ -77,67 +76,72 @@ def _cells(sub: int) -> Column:
     return F.array(*[F.lit(i << (CHECK_BITS + CELL_BITS * sub)).cast("bigint") for i in range(CELLS)])
 
 
+def _own(d: Column, sub: int, cell: Column) -> Column:
+    """The digests whose place in a subtable is this one of _cells()."""
+    return F.filter(d, lambda x: x.bitwiseAND(F.lit(_mask(sub))) == cell)
+
+
 def _bits(x: Column, at: Column, n: Column) -> Column:
     """The number that a digest's bits from `at` on name, modulo a power of two."""
     return F.call_function("shiftrightunsigned", x, at).bitwiseAND(n - 1)
 
 
-def _cell(n: Column, k: Column) -> Column:
-    return F.struct(n.alias("n"), k.alias("k"))
+def _xor(d: Column, start: Column) -> Column:
+    return F.aggregate(d, start, lambda k, x: k.bitwiseXOR(x))
 
 
 def build(d: Column) -> Column:
-    """Cells (n: count, k: XOR), subtable after subtable, of the digests d."""
-
-    held = lambda xs: _cell(F.size(xs), F.aggregate(xs, F.lit(0).cast("bigint"), lambda k, x: k.bitwiseXOR(x)))
-    table_of = lambda sub: F.transform(_cells(sub), lambda v: _let(_own(d, sub, v), held))
+    """The XORs of the cells, subtable after subtable, of the digests d."""
+    nothing = F.lit(0).cast("bigint")
+    table_of = lambda sub: F.transform(_cells(sub), lambda v: _xor(_own(d, sub, v), nothing))
     return F.concat(*[table_of(sub) for sub in range(3)])
 
 
-def _less(x: Column, y: Column) -> Column:
-    """A cell without another's digests."""
-    return _cell(x.getField("n") - y.getField("n"), x.getField("k").bitwiseXOR(y.getField("k")))
+def counts(d: Column) -> Column:
+    """The counts of the cells."""
+    table_of = lambda sub: F.transform(_cells(sub), lambda v: F.size(_own(d, sub, v)))
+    return F.concat(*[table_of(sub) for sub in range(3)])
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, _less)
+    return F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
 
 
 def peel(cells: Column) -> Column:
-    """Number of digests recovered from a difference of sketches, null if cells remain."""
+    """Number of digests recovered from a difference of sketches, null if cells remain.
+
+    A cell holds one digest if its check is right and its place is this cell. What passes
+    by chance (an XOR of several, 1 in 2**16) is put into its other cells, so that these
+    stay full or give it up again; either way the result is null and the sketch too small."""
 
-    def pure(c: Column, sub: int) -> Column:
-        """The cells of a subtable that hold one digest: different digests, with their signs."""
-        own = F.slice(c, sub * CELLS + 1, CELLS)
-        return F.filter(own, lambda x: (F.abs(x.getField("n")) == 1) & (x.getField("k").bitwiseAND(F.lit(0xFFFF)) == _check(x.getField("k"))))
+    def pure(c: Column, sub: Column) -> Column:
+        """The digests that the cells of a subtable give up."""
+        at = sub * CELLS + 1
+        mask = F.get(F.array(*[F.lit(_mask(k)) for k in range(3)]), sub)
+        one = lambda x, v: F.when((x.bitwiseAND(mask) == v) & (x != 0) & (x.bitwiseAND(F.lit(0xFFFF)) == _check(x)), x)
+        return F.filter(F.zip_with(F.slice(c, at, F.lit(CELLS)), F.slice(F.concat(*[_cells(k) for k in range(3)]), at, F.lit(CELLS)), one), lambda x: x.isNotNull())
 
     def without(c: Column, ones: Column) -> Column:
         """Cells after these digests are taken out of the three cells of each."""
-
-        def of(sub: int) -> Column:
-            left = lambda x, v: F.aggregate(_own(ones, sub, v, lambda p: p.getField("k")), x, _less)
-            return F.zip_with(F.slice(c, sub * CELLS + 1, CELLS), _cells(sub), left)
-
+        of = lambda sub: F.zip_with(F.slice(c, sub * CELLS + 1, CELLS), _cells(sub), lambda x, v: _xor(_own(ones, sub, v), x))
         return F.concat(*[of(sub) for sub in range(3)])
 
-    def taken(state: Column, sub: int) -> Column:
-        """The state after the digests that one subtable gives up."""
+    def step(state: Column, turn: Column) -> Column:
+        c, found, idle = (state.getField(x) for x in ("c", "found", "idle"))
 
         def go(ones: Column) -> Column:
-            return F.when(F.size(ones) == 0, state).otherwise(
-                F.struct(without(state.getField("c"), ones).alias("c"), (state.getField("found") + F.size(ones)).alias("found"), F.lit(True).alias("more"))
-            )
+            none = F.struct(c.alias("c"), found.alias("found"), (idle + 1).alias("idle"))
+            return F.when(F.size(ones) == 0, none).otherwise(F.struct(without(c, ones).alias("c"), F.concat(found, ones).alias("found"), F.lit(0).alias("idle")))
+
+        return F.when(idle < 3, _let(pure(c, turn % 3), go)).otherwise(state)
 
-        return _let(pure(state.getField("c"), sub), go)
+    start = F.struct(cells.alias("c"), F.array().cast("array<bigint>").alias("found"), F.lit(0).alias("idle"))
 
-    def step(state: Column, _: Column) -> Column:
-        fresh = F.struct(state.getField("c").alias("c"), state.getField("found").alias("found"), F.lit(False).alias("more"))
-        through = _let(taken(fresh, 0), lambda one: _let(taken(one, 1), lambda two: taken(two, 2)))
-        return F.when(state.getField("more"), through).otherwise(state)
+    def verdict(state: Column) -> Column:
+        left, found = F.exists(state.getField("c"), lambda x: x != 0), state.getField("found")
+        return F.when(~left & (F.size(found) == F.size(F.array_distinct(found))), F.size(found))
 
-    start = F.struct(cells.alias("c"), F.lit(0).alias("found"), F.lit(True).alias("more"))
-    full = lambda c: F.exists(c, lambda x: (x.getField("n") != 0) | (x.getField("k") != 0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.when(~full(s.getField("c")), s.getField("found")))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(3 * ROUNDS - 1)), start, step, verdict)
 
 
 def _let(value: Column, f) -> Column:
@@ -163,10 +167,10 @@ def _both(a: Column, b: Column) -> Column:
     return F.struct(a.alias("a"), b.alias("b"))
 
 
-def larger(a: Column, b: Column, failed: Column) -> Column:
-    """Number of the digests that differ, by sketches of many blocks; failed: the difference
-    of the single blocks."""
-    squares = F.aggregate(failed, F.lit(0).cast("bigint"), lambda n, x: n + x.getField("n").cast("bigint") * x.getField("n")) / 3
+def larger(a: Column, b: Column, more: Column) -> Column:
+    """Number of the digests that differ, by sketches of many blocks; more: by how much the
+    counts of the single blocks differ."""
+    squares = F.aggregate(more, F.lit(0).cast("bigint"), lambda n, x: n + x.cast("bigint") * x) / 3
     wanted = F.greatest(F.least(squares, F.size(a) + F.size(b)) / LOAD, F.lit(4))
 
     def all_blocks(blocks: Column) -> Column:
@@ -198,16 +202,23 @@ def larger(a: Column, b: Column, failed: Column) -> Column:
     return _let(F.pow(F.lit(2), F.ceil(F.log2(wanted))).cast("bigint"), all_blocks)
 
 
-def as_text(n: Column, cells: Column) -> Column:
+def as_text(n: Column, held: Column, cells: Column) -> Column:
     """The fingerprint: number of digests, then each cell's count and XOR in hexadecimal."""
-    return F.concat(n.cast("string"), F.lit(":"), F.array_join(F.transform(cells, lambda x: F.concat_ws(".", x.getField("n").cast("string"), F.lower(F.hex(x.getField("k"))))), ","))
+    return F.concat(n.cast("string"), F.lit(":"), F.array_join(F.zip_with(held, cells, lambda n, k: F.concat_ws(".", n.cast("string"), F.lower(F.hex(k)))), ","))
+
+
+def with_sketch(df: DataFrame, *digests_of: str) -> DataFrame:
+    """df with n_* and k_*, counts and XORs of the single blocks of columns of digests."""
+    return df.withColumns({f"{x}_{d}": f(F.col(d)) for d in digests_of for x, f in (("n", counts), ("k", build))})
 
 
-def with_likeness(df: DataFrame, a: str, b: str, cells_a: str, cells_b: str, out: str) -> DataFrame:
-    """df with out: likeness of two sketches; a, b: digests, cells_*: their single blocks."""
-    differ = _let(subtract(F.col(cells_a), F.col(cells_b)), lambda c: _let(peel(c), lambda n: F.coalesce(n.cast("bigint"), larger(F.col(a), F.col(b), c))))
+def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """df with out: likeness of two columns of digests that with_sketch() was given."""
+    df = df.withColumns({"__cells": subtract(F.col(f"k_{a}"), F.col(f"k_{b}")), "__more": F.zip_with(f"n_{a}", f"n_{b}", lambda x, y: x - y)})
+    df = df.withColumn("__found", peel(F.col("__cells")).cast("bigint"))
+    df = df.withColumn("__found", F.when(F.col("__found").isNull(), larger(F.col(a), F.col(b), F.col("__more"))).otherwise(F.col("__found")))
     both = F.size(a) + F.size(b)
-    return df.withColumn("__found", differ).withColumn(out, F.when(both == 0, 1.0).otherwise((both - F.col("__found")) / (both + F.col("__found"))).cast("double")).drop("__found")
+    return df.withColumn(out, F.when(both == 0, 1.0).otherwise((both - F.col("__found")) / (both + F.col("__found"))).cast("double")).drop("__found", "__cells", "__more")
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slices: int | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
@@ -252,8 +263,7 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = near.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - k), F.substring("next_text", F.lit(1), k)))
     near = near.withColumns({"de": digests(F.col("edited")), "edited_sha256": F.sha2(F.encode("edited", "UTF-8"), 256)})
     near = near.select("doc_id", "n_chars", "edited_sha256", "da", "de", F.col("next_da").alias("dn"))
-    near = near.withColumns({f"c{x}": build(F.col(f"d{x}")) for x in "aen"})
-    near = near.withColumns({"fingerprint": as_text(F.size("da"), F.col("ca")), "edited_fingerprint": as_text(F.size("de"), F.col("ce"))})
-    near = with_likeness(near, "da", "de", "ca", "ce", "near_edited")
-    near = with_likeness(near, "da", "dn", "ca", "cn", "near_next")
+    near = with_sketch(near, "da", "de", "dn")
+    near = near.withColumns({"fingerprint": as_text(F.size("da"), F.col("n_da"), F.col("k_da")), "edited_fingerprint": as_text(F.size("de"), F.col("n_de"), F.col("k_de"))})
+    near = with_likeness(with_likeness(near, "da", "de", "near_edited"), "da", "dn", "near_next")
     return near.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
