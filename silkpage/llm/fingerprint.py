@@ -35,7 +35,7 @@ from .common import table
 
 #: Cells of a subtable, and differing digests that a block of three of them is made for.
 CELL_BITS = 3
-CELLS, LOAD = 1 << CELL_BITS, 6
+CELLS, LOAD = 1 << CELL_BITS, 10
 #: Of a digest's bits: the check, the places in the three subtables, the block.
 CHECK_BITS = 16
 BLOCK_AT = CHECK_BITS + 3 * CELL_BITS
@@ -47,7 +47,7 @@ MARKS = ".!?。！？｡؟۔।॥։።…"
 #: Characters of a run that stays whole, and the least and most of a part of longer ones.
 LONG, LEAST, MOST = 160, 40, 400
 #: Where sentences and lines end, and the parts of a long one.
-SENTENCES = rf"(?<=[{MARKS}])(?![{MARKS}])|\n"
+SENTENCES = rf"\n|(?<=[{MARKS}])(?![{MARKS}\n])"
 PARTS = rf"(?s).{{{LEAST},{MOST}}}?(\S)[ \t]+(?=\1)|.{{{LEAST},{MOST}}}?(\S)(?=\2)|.{{1,{MOST}}}"
 
 
@@ -86,14 +86,15 @@ def _bits(x: Column, at: Column, n: Column) -> Column:
     return F.call_function("shiftrightunsigned", x, at).bitwiseAND(n - 1)
 
 
-def _xor(d: Column, start: Column) -> Column:
-    return F.aggregate(d, start, lambda k, x: k.bitwiseXOR(x))
+def _into(start: Column, d: Column, sub: int, cell: Column) -> Column:
+    """start XOR the digests of this cell of a subtable."""
+    here = lambda x: x.bitwiseAND(F.lit(_mask(sub))) == cell
+    return F.aggregate(d, start, lambda k, x: F.when(here(x), k.bitwiseXOR(x)).otherwise(k))
 
 
 def build(d: Column) -> Column:
     """The XORs of the cells, subtable after subtable, of the digests d."""
-    nothing = F.lit(0).cast("bigint")
-    table_of = lambda sub: F.transform(_cells(sub), lambda v: _xor(_own(d, sub, v), nothing))
+    table_of = lambda sub: F.transform(_cells(sub), lambda v: _into(F.lit(0).cast("bigint"), d, sub, v))
     return F.concat(*[table_of(sub) for sub in range(3)])
 
 
@@ -114,34 +115,33 @@ def peel(cells: Column) -> Column:
     by chance (an XOR of several, 1 in 2**16) is put into its other cells, so that these
     stay full or give it up again; either way the result is null and the sketch too small."""
 
-    def pure(c: Column, sub: Column) -> Column:
-        """The digests that the cells of a subtable give up."""
-        at = sub * CELLS + 1
-        mask = F.get(F.array(*[F.lit(_mask(k)) for k in range(3)]), sub)
-        one = lambda x, v: F.when((x.bitwiseAND(mask) == v) & (x != 0) & (x.bitwiseAND(F.lit(0xFFFF)) == _check(x)), x)
-        return F.filter(F.zip_with(F.slice(c, at, F.lit(CELLS)), F.slice(F.concat(*[_cells(k) for k in range(3)]), at, F.lit(CELLS)), one), lambda x: x.isNotNull())
+    def pure(c: Column) -> Column:
+        """The different digests that cells give up."""
+        one = lambda sub: lambda x, v: F.when((x.bitwiseAND(F.lit(_mask(sub))) == v) & (x != 0) & (x.bitwiseAND(F.lit(0xFFFF)) == _check(x)), x)
+        of = lambda sub: F.zip_with(F.slice(c, sub * CELLS + 1, CELLS), _cells(sub), one(sub))
+        return F.array_distinct(F.filter(F.concat(*[of(sub) for sub in range(3)]), lambda x: x.isNotNull()))
 
     def without(c: Column, ones: Column) -> Column:
         """Cells after these digests are taken out of the three cells of each."""
-        of = lambda sub: F.zip_with(F.slice(c, sub * CELLS + 1, CELLS), _cells(sub), lambda x, v: _xor(_own(ones, sub, v), x))
+        of = lambda sub: F.zip_with(F.slice(c, sub * CELLS + 1, CELLS), _cells(sub), lambda x, v: _into(x, ones, sub, v))
         return F.concat(*[of(sub) for sub in range(3)])
 
-    def step(state: Column, turn: Column) -> Column:
-        c, found, idle = (state.getField(x) for x in ("c", "found", "idle"))
+    def step(state: Column, _: Column) -> Column:
+        c, found = state.getField("c"), state.getField("found")
 
         def go(ones: Column) -> Column:
-            none = F.struct(c.alias("c"), found.alias("found"), (idle + 1).alias("idle"))
-            return F.when(F.size(ones) == 0, none).otherwise(F.struct(without(c, ones).alias("c"), F.concat(found, ones).alias("found"), F.lit(0).alias("idle")))
+            end = F.struct(c.alias("c"), found.alias("found"), F.lit(False).alias("more"))
+            return F.when(F.size(ones) == 0, end).otherwise(F.struct(without(c, ones).alias("c"), F.concat(found, ones).alias("found"), F.lit(True).alias("more")))
 
-        return F.when(idle < 3, _let(pure(c, turn % 3), go)).otherwise(state)
+        return F.when(state.getField("more"), _let(pure(c), go)).otherwise(state)
 
-    start = F.struct(cells.alias("c"), F.array().cast("array<bigint>").alias("found"), F.lit(0).alias("idle"))
+    start = F.struct(cells.alias("c"), F.array().cast("array<bigint>").alias("found"), F.lit(True).alias("more"))
 
     def verdict(state: Column) -> Column:
         left, found = F.exists(state.getField("c"), lambda x: x != 0), state.getField("found")
         return F.when(~left & (F.size(found) == F.size(F.array_distinct(found))), F.size(found))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(3 * ROUNDS - 1)), start, step, verdict)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, verdict)
 
 
 def _let(value: Column, f) -> Column:
@@ -153,14 +153,13 @@ def _deal(d: Column, blocks: Column) -> Column:
     """The digests of each block; a power of two of them, dealt in two steps so that a
     block is not compared with every digest."""
     at = F.lit(BLOCK_AT)
-    inner = F.pow(F.lit(2), F.ceil(F.log2(blocks) / 2)).cast("bigint")
-    outer = (blocks / inner).cast("bigint")
 
-    def some(j: Column) -> Column:
-        near = F.filter(d, lambda x: (_bits(x, at, blocks) / inner).cast("bigint") == j)
-        return _let(near, lambda ds: F.transform(F.sequence(F.lit(0).cast("bigint"), inner - 1), lambda i: F.filter(ds, lambda x: _bits(x, at, inner) == i)))
+    def by(outer: Column) -> Column:
+        inside = lambda j: lambda ds: F.transform(F.sequence(j, blocks - 1, outer), lambda v: F.filter(ds, lambda x: _bits(x, at, blocks) == v))
+        some = lambda j: _let(F.filter(d, lambda x: _bits(x, at, outer) == j), inside(j))
+        return F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), outer - 1), some))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0).cast("bigint"), outer - 1), some))
+    return _let(F.pow(F.lit(2), F.ceil(F.log2(blocks) / 2)).cast("bigint"), by)
 
 
 def _both(a: Column, b: Column) -> Column:
@@ -221,8 +220,8 @@ def with_likeness(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(both == 0, 1.0).otherwise((both - F.col("__found")) / (both + F.col("__found"))).cast("double")).drop("__found", "__cells", "__more")
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slices: int | None = None, carry: dict[str, Column] | None = None) -> DataFrame:
-    """docs (doc_id, text, the columns `carry` computed from text) with next_text and next_*,
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slices: int | None = None, carry: list[dict[str, Column]] | None = None) -> DataFrame:
+    """docs (doc_id, text, the columns `carry` computed step by step) with next_text and next_*,
     those of the next row in descending doc_id.
 
     Rows are dealt to ranges of doc_id at quantiles, so that neighbours meet without one
@@ -244,26 +243,28 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", slice
     ranged = small.withColumn("__g", g).withColumn(
         "__range", F.when(F.col("doc_id").isNull(), -1).when(F.col("__g") == 0, 0).otherwise((F.col("__g") - 1) * side + inner)
     ).drop("__g")
-    carry = carry or {}
     tops_of = ranged.groupBy("__range").agg(F.max("doc_id").alias("first")).orderBy(F.desc("__range")).collect()
     follow = [(r["__range"], tops_of[(k + 1) % len(tops_of)]["first"]) for k, r in enumerate(tops_of)]
     firsts = docs.sparkSession.createDataFrame(follow, "__range int, __first bigint")
     copies = small.join(F.broadcast(firsts), small.doc_id.eqNullSafe(firsts["__first"])).select("doc_id", "text", "__range", F.lit(1).alias("__copy"))
-    rows = ranged.select("doc_id", "text", "__range", F.lit(0).alias("__copy")).union(copies).withColumns(carry)
+    rows = ranged.select("doc_id", "text", "__range", F.lit(0).alias("__copy")).union(copies)
+    for step in carry or []:
+        rows = rows.withColumns(step)
+    carried = [c for step in carry or [] for c in step]
     order = Window.partitionBy("__range").orderBy("__copy", F.col("doc_id").desc_nulls_last(), "text")
-    lead = {"next_text": F.lead(F.coalesce("text", F.lit(""))).over(order)} | {f"next_{c}": F.lead(c).over(order) for c in carry}
-    return rows.withColumns(lead).filter("__copy = 0").select("doc_id", "text", *carry, *lead)
+    lead = {"next_text": F.lead(F.coalesce("text", F.lit(""))).over(order)} | {f"next_{c}": F.lead(c).over(order) for c in carried}
+    return rows.withColumns(lead).filter("__copy = 0").select("doc_id", "text", *carried, *lead)
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
-    near = with_next(table(spark, sf_dir, "documents"), carry={"da": digests(F.col("text"))}).withColumns({"text": body, "next_text": F.coalesce("next_text", F.lit(""))})
+    near = with_next(table(spark, sf_dir, "documents"), carry=[{"da": digests(F.col("text"))}, {"n_da": counts(F.col("da")), "k_da": build(F.col("da"))}]).withColumns({"text": body, "next_text": F.coalesce("next_text", F.lit(""))})
     near = near.withColumn("n_chars", F.char_length("text").cast("long"))
     k = F.floor(F.col("n_chars") / 3).cast("int")
     near = near.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - k), F.substring("next_text", F.lit(1), k)))
     near = near.withColumns({"de": digests(F.col("edited")), "edited_sha256": F.sha2(F.encode("edited", "UTF-8"), 256)})
-    near = near.select("doc_id", "n_chars", "edited_sha256", "da", "de", F.col("next_da").alias("dn"))
-    near = with_sketch(near, "da", "de", "dn")
+    near = near.select("doc_id", "n_chars", "edited_sha256", "da", "n_da", "k_da", "de", *[F.col(f"next_{c}").alias(c.replace("da", "dn")) for c in ("da", "n_da", "k_da")])
+    near = with_sketch(near, "de")
     near = near.withColumns({"fingerprint": as_text(F.size("da"), F.col("n_da"), F.col("k_da")), "edited_fingerprint": as_text(F.size("de"), F.col("n_de"), F.col("k_de"))})
     near = with_likeness(with_likeness(near, "da", "de", "near_edited"), "da", "dn", "near_next")
     return near.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
