@@ -36,13 +36,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize, table
+from .common import drop_table, materialize, table, tidy
 
 LEXICON = 65_536
 #: Counters of one Misra-Gries summary; its counts are low by at most words / COUNTERS.
 COUNTERS = 4 * LEXICON
 #: Pieces that one Python worker remembers; beyond, those of its last RECENT batches stay.
-MEMORY, RECENT = 400_000, 3
+MEMORY, RECENT = 250_000, 3
 #: Bytes of text that are encoded at once, about.
 STEP = 8 << 20
 #: Unicode white space, and how the vocabulary's file splits words.
@@ -269,6 +269,7 @@ class Codec:
 
 
 def _count_words(vocab):
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(vocab.value)
         seen: Counter = Counter()
@@ -378,6 +379,7 @@ def slices(texts: pa.Array, step: int) -> Iterator[tuple[int, int]]:
 
 
 def _coder(vocab, lexicon, with_ids: bool):
+    @tidy
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings = PieceStrings(Codec(Vocabulary(vocab.value), in_memory_map(lexicon.value)))
         for big in batches:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir), or, where
-    the session names none (tests on one machine), a temporary one set here."""
+    the session names none and runs on one machine (tests), a temporary one set here.
+    A cluster without a named folder is an error: each machine would write its own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         named = _own_dirs.get(app)
         if not named:
@@ -34,6 +40,51 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def release() -> None:
+    """Give what a Python worker has freed back to the system: workers are kept for later
+    stages, and their idle memory counts against the executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(f):
+    """An Arrow function of batches that releases memory at its end."""
+
+    def batched(batches):
+        try:
+            yield from f(batches)
+        finally:
+            gc.collect()
+            release()
+
+    return batched
+
+
+def tidy_group(f):
+    """The same of a key and its group, or of a key and two groups (tidy_groups)."""
+
+    def grouped(key: tuple, group: pa.Table) -> pa.Table:
+        try:
+            return f(key, group)
+        finally:
+            release()
+
+    return grouped
+
+
+def tidy_groups(f):
+    def cogrouped(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(key, left, right)
+        finally:
+            release()
+
+    return cogrouped
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

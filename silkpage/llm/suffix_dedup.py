@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tidy, tidy_group, tidy_groups
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text for each bucket of minimizers, and surroundings in each block.
@@ -300,6 +300,7 @@ def _batches(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[tuple[lis
 def _gather(buckets: int, length: int, gram: int):
     reach = length - gram
 
+    @tidy
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = Hasher(), [], 0
 
@@ -376,6 +377,7 @@ def _span_table(rows: list[tuple[int, bool, bytes]]) -> pa.Table:
 def _meet(parts: int, length: int, gram: int, most: int):
     reach = length - gram
 
+    @tidy_group
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         """Of one bucket: spans settled as repeats, and open places that need their bytes."""
         unpacked = [unpack(b.as_py()) for b in group.column("blob")]
@@ -431,6 +433,7 @@ def _runs(doc: np.ndarray, fp: np.ndarray) -> Iterator[tuple[tuple[int, int], np
 def _cut_surroundings(blocks: int, length: int, gram: int):
     reach = length - gram
 
+    @tidy_groups
     def cut(key: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
         doc, fp, pos, anchor = unpack_spans(spans.column("blob").to_pylist())
         block, hot = (anchor ^ anchor >> 20) % blocks, anchor & 1 > 0
@@ -465,6 +468,7 @@ def _cut_surroundings(blocks: int, length: int, gram: int):
 
 
 def _borders(parts: int, length: int):
+    @tidy_group
     def borders(key: tuple, group: pa.Table) -> pa.Table:
         ids, fps, los = (np.concatenate([x.values.to_numpy() for x in group.column(c)]) for c in ("doc_id", "fp", "lo"))
         if key[0].as_py() < 0:  # strings that a part of the documents has settled
@@ -533,7 +537,8 @@ def merge_spans(lo: np.ndarray, hi: np.ndarray, size: int) -> np.ndarray:
 
 
 def _remover(kept_columns: list[str] | None):
-    def remove(docs: pa.Table, spans: pa.Table) -> pa.Table:
+    @tidy_groups
+    def remove(key: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
         doc, fp, lo, hi = unpack_spans(spans.column("blob").to_pylist())
         texts = Texts(docs)
         cut = {k: merge_spans(lo[m], hi[m], len(texts[i])).tolist() for key, m in _runs(doc, fp) for i in texts.at[key][:1] for k in texts.at[key]}

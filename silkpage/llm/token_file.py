@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, tidy
 
 BLOCK, PERCENTILE = 128, 90
 #: Ids of one segment, about: it ends with the document that reaches this.
@@ -285,6 +285,7 @@ TOKEN_TABLE = "part int, number int, first bigint, n_tokens bigint, doc_ids arra
 
 
 def _writer(vocab, end_id: int):
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = PieceEncoder(vocab.value)
         part, number, first = TaskContext.get().partitionId(), 0, 0
@@ -331,6 +332,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = END_ID, doc_id:
 
 
 def _reader(bases: dict[int, int]):
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):

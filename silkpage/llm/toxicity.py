@@ -3,21 +3,22 @@
 1. Features: a text's lower-cased words, word beginnings of PREFIXES letters (stems
    stay when endings change), and those that two or three different words begin with. From at most SAMPLE labelled rows outside the
    held-out fifth, the FEATURES of most evidence for either label are kept.
-2. Voters: those that speak for toxicity (lexicon words and stem patterns, at most
-   VOTERS), the fixed lexicon below and three patterns of style. A voter votes or
-   abstains.
-3. A generative label model has for each voter its rate of voting on toxic and on other
-   texts, fitted by expectation and maximisation. The label of a training row is one
-   more voter, for either side. What voters share beyond the hidden label (residual correlation) is measured and
-   correlated votes are discounted, then the model is fitted again.
+2. Voters: families of features that speak for toxicity (forms of one stem, at most
+   VOTERS families), the fixed lexicon below and a pattern of insults. A voter votes or
+   abstains. The labels choose the voters, and are used for nothing else.
+3. A generative label model estimates from the votes alone, by expectation and
+   maximisation, how often texts are toxic and how often each voter votes on toxic and on
+   other texts: voters that agree beyond chance confirm each other. What they share beyond
+   the hidden label (residual correlation) is measured, correlated votes are discounted,
+   and the model is fitted again.
 4. A logistic regression over the features learns the posterior labels. It alone scores.
 
 Labels, lang, source and doc_id are no input of a score; every text is scored as a whole.
 
 Defined cases: null and empty texts have no features and get the score of the
 intercept; several labels of one doc_id count as toxic if one does; null labels are
-ignored; without labelled rows of both kinds the fixed lexicon alone votes; repeated
-rows are scored each.
+ignored; without labelled rows of both kinds, or where no votes agree, the fixed lexicon
+alone decides; repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -31,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 #: Bounds of what the model is fitted on: labelled rows, features, voters.
 SAMPLE, FEATURES, VOTERS = 15_000, 3_000, 150
 PREFIXES = (4, 5, 6, 7, 8)
+#: Share of toxic texts among those with a chosen feature or family, at least; what the label model
+#: believes of it beforehand, and how much that weighs.
+CHOSEN, RIGHT, BELIEF = 0.9, 0.9, 0.5
 #: Remembered words of one Python worker; full, it starts anew.
-MEMORY = 300_000
+MEMORY = 150_000
 #: Common insults.
 LEXICON = (
     "bastard", "clown", "creep", "disgusting", "dumb", "fool", "freak", "garbage", "idiot", "imbecile", "jerk", "loser",
@@ -109,6 +113,7 @@ class Features:
         return sorted([at[f] for f in names + style_features(text, words) if f in at])
 
 
+@tidy
 def _all_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, toxic) of every different feature of each labelled text."""
     for big in batches:
@@ -126,6 +131,7 @@ def _all_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _known_features(names):
+    @tidy
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(names.value)
         for b in batches:
@@ -135,22 +141,27 @@ def _known_features(names):
 
 
 class LabelModel:
-    """Hidden label, voters with a rate for each label, discounts for correlated voters.
+    """Hidden label, voters with a rate of voting for each label, discounts for correlated
+    voters. No label is seen.
 
-    An abstention says nothing; a vote counts by the logarithm of its two rates, times
-    the voter's share of what its correlated voters say together."""
+    An abstention says nothing; a vote counts by the logarithm of its two rates, divided
+    among the correlated voters that vote on the same text. A chosen voter is believed to be
+    right in RIGHT of its votes; that belief weighs BELIEF times what its votes show."""
 
     def __init__(self, rounds: int = 30):
         self.rounds = rounds
 
-    def _fit(self, votes: np.ndarray, said: np.ndarray, p: np.ndarray, share: np.ndarray) -> np.ndarray:
+    def _fit(self, votes: np.ndarray, p: np.ndarray, same: np.ndarray) -> np.ndarray:
+        share = votes / (1 + votes @ same)  # a vote's part in what its correlated voters say
+        n = votes.sum(axis=0)
         for _ in range(self.rounds):
-            n1, n0 = p.sum(), (1 - p).sum()
-            self.on1 = (p @ votes + 0.5) / (n1 + 1.0)
-            self.on0 = ((1 - p) @ votes + 0.5) / (n0 + 1.0)
+            n1 = p @ votes.any(axis=1)  # a text without votes is no sign of toxic ones
+            n0 = len(p) - n1
+            self.prior = min(0.5, (n1 + 1.0) / (len(p) + 2.0))
+            right = (p @ votes + BELIEF * RIGHT * n) / (1 + BELIEF)
+            self.on1, self.on0 = (right + 0.5) / (n1 + 1.0), (n - right + 0.5) / (n0 + 1.0)
             says = np.maximum(np.log(self.on1 / self.on0), 0)  # a voter votes for toxicity, or is no voter
-            right = min(0.99, ((p @ said) + ((1 - p) @ (1 - said)) + 9.5) / (len(p) + 10.0))
-            z = np.log(self.prior / (1 - self.prior)) + votes @ (share * says) + np.where(said > 0, 1, -1) * np.log(right / (1 - right))
+            z = np.log(self.prior / (1 - self.prior)) + share @ says
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return p
 
@@ -161,20 +172,26 @@ class LabelModel:
         np.fill_diagonal(out, 0)
         return np.abs(out)
 
-    def posterior(self, votes: np.ndarray, said: np.ndarray) -> np.ndarray:
-        """P(toxic) of each row of the 0/1 matrix of votes; said: the rows' labels, whose
-        share of toxic rows is the prior (abstentions tell nothing of it)."""
-        self.prior = (said.sum() + 1.0) / (len(said) + 2.0)
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """P(toxic) of each row of the 0/1 matrix of votes."""
         same = self._correlated(votes)
-        share = 1 / (1 + (same * (same > 0.6)).sum(axis=1))  # forms of one stem vote as one
-        p = self._fit(votes, said, np.where(said > 0, 0.95, 0.02), share)
+        p = self._fit(votes, np.where(votes.any(axis=1), RIGHT, 0.02), same * (same > 0.6))
         self.correlations = self._correlated(votes - (p[:, None] * self.on1 + (1 - p[:, None]) * self.on0))
-        share = 1 / (1 + (self.correlations * (self.correlations > 0.3)).sum(axis=1))
-        p = self._fit(votes, said, p, share)
+        p = self._fit(votes, p, self.correlations * (self.correlations > 0.3))
         self.accuracies = self.prior * self.on1 + (1 - self.prior) * (1 - self.on0)
         return p
 
 
+def _shown(bad: float, n: float) -> float:
+    """Share of toxic texts that n texts, bad of them toxic, show: one clean one is added."""
+    return float(bad) / (float(n) + 1.0)
+
+
+def family(feature: str) -> str:
+    """What the forms of one stem have in common: its first letters."""
+    return feature if feature in STYLE else feature.rstrip("23").rstrip("~")[: PREFIXES[0]]
+
+
 def logistic(found: list[list[int]], n_features: int, y: np.ndarray, steps: int = 400, rate: float = 0.05, l2: float = 3e-4) -> tuple[np.ndarray, float]:
     """Weights and intercept for soft labels; both kinds weigh the same."""
     row = np.repeat(np.arange(len(found)), [len(f) for f in found])
@@ -196,7 +213,8 @@ def logistic(found: list[list[int]], n_features: int, y: np.ndarray, steps: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> dict:
-    """The scoring model: names, weights, intercept; with the label model's estimates."""
+    """The scoring model: names, weights, intercept; with the label model's estimates, and
+    differs: the share of training rows whose posterior is not what their label says."""
     sc = docs.sparkSession.sparkContext
     usable = labels.filter(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     one = usable.groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
@@ -206,33 +224,41 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     counts = train.mapInArrow(_all_features, "feature string, toxic int").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
     kinds = {r["__toxic"]: r["count"] for r in train.groupBy("__toxic").count().collect()}
     n1, n0 = kinds.get(1, 0), kinds.get(0, 0)
-    names, voters = [*LEXICON, *STYLE], []
+    names, mined, voters = [*LEXICON, *STYLE], {}, {family(f): [f] for f in (*LEXICON, *STYLE[2:])}
     if n1 and n0:
         odds = F.ln(((F.col("bad") + 0.5) / (n1 + 1)) / ((F.col("n") - F.col("bad") + 0.5) / (n0 + 1)))
         best = counts.filter(F.col("n") >= 4).withColumn("odds", odds).withColumn("evidence", F.abs("odds") * F.sqrt("n"))
-        rows = best.orderBy(F.desc("evidence"), "feature").limit(FEATURES).select("feature", "odds", "n").collect()
+        rows = best.orderBy(F.desc("evidence"), "feature").limit(FEATURES).select("feature", "bad", "n").collect()
         names += [r.feature for r in rows if r.feature not in names]
-        voters = [r.feature for r in rows if r.odds > 2 and r.n >= 8][:VOTERS]
-    voters += [f for f in (*LEXICON, *STYLE[2:]) if f not in voters]
+        for r in rows:
+            if _shown(r.bad, r.n) >= CHOSEN:
+                mined.setdefault(family(r.feature), []).append(r.feature)
     rows = train.mapInArrow(_known_features(sc.broadcast(names)), "found array<int>, toxic int").collect()
-    found, said = [r.found for r in rows], np.array([r.toxic for r in rows] or [0], float)
+    found, said = [r.found for r in rows], np.array([r.toxic for r in rows], float)
     at = {n: i for i, n in enumerate(names)}
-    lookup = np.full(len(names), -1)
-    lookup[[at[v] for v in voters]] = np.arange(len(voters))
-    votes = np.zeros((max(1, len(found)), len(voters)))
+    has = np.zeros((max(1, len(found)), len(names)), bool)
     for k, f in enumerate(found):
-        j = lookup[f] if f else np.empty(0, np.int64)
-        votes[k, j[j >= 0]] = 1
+        has[k, f] = True
+    for k in list(mined)[:VOTERS]:
+        speaks = has[:, [at[f] for f in voters.get(k, [])]].any(axis=1)
+        for f in mined[k]:  # forms of a stem join its voter as long as it stays as sure
+            more = speaks | has[:, at[f]]
+            if _shown(said @ more, more.sum()) >= CHOSEN:
+                speaks = more
+                voters.setdefault(k, []).append(f)
+    votes = np.stack([has[:, [at[f] for f in fs]].any(axis=1) for fs in voters.values()], axis=1).astype(float)
     model = LabelModel()
-    y = model.posterior(votes, said)[: len(found)]
-    if len(found) and y.max(initial=0) > 0.5 > y.min(initial=1):
+    y = model.posterior(votes)[: len(found)]
+    if len(found) and n1 and n0 and y.max(initial=0) > 0.5 > y.min(initial=1):
         weights, intercept = logistic(found, len(names), y)
     else:
         weights, intercept = np.array([4.0 if n in LEXICON or n == STYLE[2] else 0.0 for n in names]), -2.0
-    return {"names": names, "weights": weights, "intercept": intercept, "voters": voters, "accuracies": getattr(model, "accuracies", None), "correlations": getattr(model, "correlations", None)}
+    differs = float(((y > 0.5) != (said > 0)).mean()) if len(found) else 0.0
+    return {"names": names, "weights": weights, "intercept": intercept, "voters": voters, "differs": differs, "accuracies": getattr(model, "accuracies", None), "correlations": getattr(model, "correlations", None)}
 
 
 def _scorer(model):
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, weights, intercept = model.value
         features = Features(names)

@@ -229,8 +229,39 @@ def test_label_model_discounts_correlated_voters():
     other = (rng.random(3000) < np.where(y, 0.5, 0.02)).astype(float)
     votes = np.stack([one, one, one, other], axis=1)
     m = X.LabelModel()
-    m.posterior(votes, y.astype(float))
+    p = m.posterior(votes)
     assert m.correlations[0, 1] > 0.9 and m.correlations[0, 3] < 0.3 and (m.accuracies > 0.8).all()
+    assert ((p > 0.5) == (votes.sum(axis=1) > 1)).mean() > 0.9
+
+
+def test_label_model_estimates_rates_without_labels():
+    """Independent voters: their true rates are found from agreement alone."""
+    rng = np.random.default_rng(2)
+    y = rng.random(8000) < 0.15
+    on1, on0 = np.array([0.5, 0.4, 0.6, 0.3, 0.5, 0.45]), np.array([0.002, 0.004, 0.001, 0.003, 0.002, 0.005])
+    votes = (rng.random((8000, 6)) < np.where(y[:, None], on1, on0)).astype(float)
+    m = X.LabelModel()
+    p = m.posterior(votes)
+    assert np.abs(m.on1 - on1).max() < 0.06 and np.abs(m.on0 - on0).max() < 0.02 and abs(m.prior - 0.15) < 0.02
+    assert ((p > 0.5) == y).mean() > 0.97 and ((p > 0.5) != y).any()
+
+
+def test_posteriors_are_not_the_labels_and_scores_are_the_model_s(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
+    model = X.fit(docs, labels)
+    assert 0 < model["differs"] < 0.05
+    assert all(len({X.family(f) for f in fs}) == 1 for fs in model["voters"].values())
+    weight = dict(zip(model["names"], model["weights"], strict=True))
+    for r in X.op10_toxicity(spark, sf).join(docs.select("doc_id", "text"), "doc_id").collect():
+        words = set(re.findall(r"[^\W\d_]+", (r.text or "").lower()))
+        stems = {}
+        for w in words:
+            for f in [w, *[w[:n] + "~" for n in X.PREFIXES if len(w) >= n]]:
+                stems[f] = stems.get(f, 0) + 1
+        has = {f + (str(k) if k > 1 else "") for f, n in stems.items() for k in (1, 2, 3) if n >= k}
+        has |= set(X.style_features(r.text or "", re.findall(r"[^\W\d_]+", (r.text or "").lower())))
+        z = model["intercept"] + sum(w for f, w in weight.items() if f in has and abs(w) > 1e-6)
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.5)
 
 
 def test_pipeline_stages(spark, sf, docs):
