@@ -94,12 +94,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Spark deletes a plan's shuffle files when its result is written, not when the driver
+#: happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str, compression: str = "zstd", keep: bool = True) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again.
-    The table lives until the driver process ends (or drop_table, if asked)."""
+    """Cut the lineage: write df as Parquet in the shared folder and read it again; the
+    shuffle files of the write go with it. The table lives until the driver process ends
+    (or drop_table, if asked)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/silkpage/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if keep:
         atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)

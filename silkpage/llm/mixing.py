@@ -17,8 +17,9 @@ The table of leaves (a few numbers a leaf) is planned on the driver; more than
 
 Defined cases: tokens are runs without white space, a null text has none; documents
 without tokens belong to every full pass, and to a prefix like others; null domain,
-lang or source are values of their own; rows equal in doc_id and text tie and are
-ordered by nothing else (both are taken, or the order between them does not matter);
+lang or source are values of their own; rows of one doc_id with different texts are
+ordered by a hash of the text, so that the mix does not depend on the order of the input;
+rows equal in doc_id and text are alike, and it does not matter which of them is taken;
 zero weights take nothing; names not in a weight table weigh 1. ANY in a weight path is
 every name, a null one too; a path without it goes before.
 """
@@ -36,9 +37,12 @@ from .common import table, words
 ANY = ...
 SLICES = 4096
 SEED = 7
-#: The mix of the registered query: share of all tokens, and target weights by language.
+#: The mix of the registered query: share of all tokens; target weights by domain, by
+#: language in every domain, and by source in every language.
 SHARE = 0.6
+DOMAIN_WEIGHTS = {"src": 0.7, "src1": 0.3}
 LANG_WEIGHTS = {"en": 0.55, "de": 0.2, "fr": 0.15, "es": 0.1}
+SOURCE_WEIGHTS = {"src0": 3.0, "src1": 2.0, "src10": 2.0}
 
 
 def split(budget: float, weights: Mapping, room: Mapping) -> dict:
@@ -86,9 +90,14 @@ def plan(leaves: Mapping[tuple, float], budget: float, weights: Mapping[tuple, f
     return go((), budget, list(leaves)) if leaves else {}
 
 
-def _order(doc_id: Column, epoch: Column, seed: int) -> Column:
+def domain_of(source: Column) -> Column:
+    """The domain of a source: its name without the last digit (tens of numbered sources)."""
+    return F.regexp_replace(source, r"\d$", "")
+
+
+def _order(doc_id: Column, text_hash: Column, epoch: Column, seed: int) -> Column:
     """53-bit order of a document in an epoch."""
-    return F.shiftrightunsigned(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("\x00")), epoch, F.lit(seed)), 11)
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("\x00")), text_hash, epoch, F.lit(seed)), 11)
 
 
 def mix(
@@ -108,8 +117,9 @@ def mix(
     rows of no copy are left out."""
     rows = docs.withColumns(
         {
-            "__domain": domain if domain is not None else F.regexp_replace(F.col(source), r"\d+$", ""),
+            "__domain": domain if domain is not None else domain_of(F.col(source)),
             "__tokens": F.size(words(F.col(text))).cast("long"),
+            "__hash": F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))),
             "__lang": F.col(lang),
             "__source": F.col(source),
         }
@@ -131,7 +141,7 @@ def mix(
         on = on & rows[c].eqNullSafe(planned[c])
     # The plan has one short row a leaf, at most max_leaves; Spark broadcasts it while it is small.
     rows = rows.join(planned, on, "left").select(rows["*"], F.coalesce("__full", F.lit(0)).alias("__full"), F.coalesce("__rest", F.lit(0)).alias("__rest"))
-    rows = rows.withColumn("__at", _order(F.col(doc_id), F.col("__full"), seed))
+    rows = rows.withColumn("__at", _order(F.col(doc_id), F.col("__hash"), F.col("__full"), seed))
     rows = rows.withColumn("__slice", F.floor(F.col("__at") / F.lit(float(1 << 53) / SLICES)).cast("int"))
     slices = rows.filter("__rest > 0").groupBy(*leaf, "__slice").agg(F.sum("__tokens").alias("__in"), F.max("__rest").alias("__rest"))
     before = Window.partitionBy(*leaf).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,20 +156,21 @@ def mix(
     has = F.col("__rest") > 0
     inside = has & (F.col("__edge").isNull() | (F.col("__slice") < F.col("__edge")))
     sure = rows.filter(F.coalesce(~(has & (F.col("__slice") == F.col("__edge"))), F.lit(True))).withColumn("__more", F.when(inside, 1).otherwise(0))
-    w = Window.partitionBy(*leaf).orderBy("__at", doc_id).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*leaf).orderBy("__at", doc_id, "__hash").rowsBetween(Window.unboundedPreceding, -1)
     open_ = rows.filter(has & (F.col("__slice") == F.col("__edge"))).withColumn("__sum", F.coalesce(F.sum("__tokens").over(w), F.lit(0)) + F.col("__edge_before"))
     open_ = open_.withColumn("__more", F.when(F.col("__sum") < F.col("__rest"), 1).otherwise(0)).drop("__sum")
     done = sure.unionByName(open_).withColumn("__copies", F.col("__full") + F.col("__more"))
-    return done.filter("__copies > 0").drop("__rest", "__at", "__slice", "__edge", "__edge_before", "__more", "__lang", "__source")
+    return done.filter("__copies > 0").drop("__rest", "__at", "__slice", "__edge", "__edge_before", "__more", "__lang", "__source", "__hash")
 
 
-def lang_weights(domain=ANY) -> dict[tuple, float]:
-    """The target weights by language, in one domain or in every one."""
-    return {(domain, k): v for k, v in LANG_WEIGHTS.items()}
+def target_weights() -> dict[tuple, float]:
+    """The target weights of all three levels."""
+    out = {(k,): v for k, v in DOMAIN_WEIGHTS.items()}
+    return out | {(ANY, k): v for k, v in LANG_WEIGHTS.items()} | {(ANY, ANY, k): v for k, v in SOURCE_WEIGHTS.items()}
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), weights=lang_weights())
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), weights=target_weights())
     return mixed.select(
         "doc_id", F.col("__domain").alias("domain"), "lang", "source", F.col("__tokens").alias("n_tokens"), F.col("__full").alias("full_epochs"), F.col("__copies").alias("copies")
     )

@@ -30,10 +30,8 @@ for each other; rows without doc_id are neither source nor cut; overlaps count.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import struct
-import time
 import zlib
 from collections.abc import Iterator
 
@@ -487,14 +485,6 @@ def _borders(parts: int, length: int):
     return borders
 
 
-def _release(spark: SparkSession) -> None:
-    """Shuffle files go when the driver collects their garbage; ask for it between phases."""
-    for _ in range(2):  # what the first round frees in Python lets the second free it in the JVM
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def _prime(n: int) -> int:
     """The next prime: numbers modulo it spread whatever steps the ids have."""
     n |= 1
@@ -506,20 +496,17 @@ def _prime(n: int) -> int:
 def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[int, DataFrame]:
     """docs has doc_id, fp and text; result: (parts, SPANS): blobs of the byte spans whose
     strings also start in smaller doc_ids, of the documents with doc_id % parts = part."""
-    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(1 << 16, max(64, total // BUCKET_BYTES))
     parts = _prime(max(64, total // PART_BYTES))
     gathered = docs.select("doc_id", "fp", "text").mapInArrow(_gather(buckets, length, gram), "bucket int, blob binary")
     found = materialize(gathered.groupBy("bucket").applyInArrow(_meet(parts, length, gram, hot), SPANS), "repeat-places")
-    _release(spark)
     wanted = found.filter("open")
     entry = 25  # bytes of a packed place
     blocks = int(max(64, (wanted.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // (entry * BLOCK_SURROUNDINGS)))
     with_part = docs.select(_part(parts).alias("part"), "doc_id", "fp", "text").filter("text <> ''")
     cut = with_part.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_cut_surroundings(blocks, length, gram), SURROUNDINGS)
     fine = materialize(cut.groupBy("block").applyInArrow(_borders(parts, length), SPANS), "repeat-borders")
-    _release(spark)
     return parts, found.filter("not open").union(fine)
 
 
