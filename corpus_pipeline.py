@@ -36,8 +36,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix by language, without repetition."""
-    return mixing.mix(docs, budget_share=MIX_SHARE, weights=mixing.lang_weights(), max_epochs=1).select(*COLUMNS)
+    """The documents of the mix by domain, language and source, without repetition."""
+    return mixing.mix(docs, budget_share=MIX_SHARE, weights=mixing.target_weights(), max_epochs=1).select(*COLUMNS)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
