@@ -260,7 +260,7 @@ def test_label_model_estimates_rates_without_labels():
 def test_posteriors_are_not_the_labels_and_scores_are_the_model_s(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "labels"))
     model = X.fit(docs, labels)
-    assert 0 < model["differs"] < 0.05
+    assert 0 < model["differs"] < 0.1  # of some seventy labelled rows
     assert all(len({X.family(f) for f in fs}) == 1 for fs in model["voters"].values())
     weight = dict(zip(model["names"], model["weights"], strict=True))
     for r in X.op10_toxicity(spark, sf).join(docs.select("doc_id", "text"), "doc_id").collect():
