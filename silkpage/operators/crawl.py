@@ -76,25 +76,39 @@ def walk_sitemaps(roots: DataFrame, fetched: DataFrame, max_depth: int = 3) -> D
 def unique_slugs(pages: DataFrame, base: str = "base", order: Sequence[str] = ("site", "seq")) -> DataFrame:
     """pages with slug: base, base-1, ... the first that its site has not used, in order.
 
-    A plain counter is wrong where a base equals a made-up slug, so each site's pages are
-    folded in order; a site has at most the crawl ceiling of pages."""
+    Pages of one base are numbered by a window, which is right unless a base looks like a
+    made-up slug (it ends in a number and what stands before it is a base of the site too).
+    Only bases that are linked in this way are folded in order, as one group of a site and
+    the stem that they share; a site's other pages need no common task. Null bases have no
+    slug; of equal seq the smaller base goes first."""
     site, seq = order
-    schema = f"{site} string, {seq} int, slug string"
+    keys = pages.select(F.col(site).cast("string").alias(site), F.col(seq).cast("bigint").alias(seq), base).filter(F.col(base).isNotNull())
+    stem = F.regexp_replace(base, r"(-[0-9]+)+$", "")
+    bases = keys.select(site, base, stem.alias("stem")).distinct()
+    several = bases.groupBy(site, "stem").agg((F.count(F.lit(1)) > 1).alias("linked"))
+    keys = keys.withColumn("stem", stem).join(several, [site, "stem"])
+    n = F.row_number().over(Window.partitionBy(site, base).orderBy(seq)) - 1
+    plain = keys.filter("not linked").withColumn("slug", F.when(n == 0, F.col(base)).otherwise(F.concat_ws("-", base, n))).select(site, seq, base, "slug")
+    schema = f"{site} string, {seq} bigint, {base} string, slug string"
 
     def fold(group: pa.Table) -> pa.Table:
         used: set[str] = set()
-        rows = sorted(zip(group.column(seq).to_pylist(), group.column(base).to_pylist(), group.column(site).to_pylist(), strict=True))
+        following: dict[str, int] = {}  # base -> the next number to try
+        rows = sorted(zip(group.column(seq).to_pylist(), group.column(base).to_pylist(), group.column(site).to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         out = []
         for _, b, _s in rows:
-            slug, n = b, 1
+            slug, k = b, following.get(b, 1)
             while slug in used:
-                slug, n = f"{b}-{n}", n + 1
+                slug, k = f"{b}-{k}", k + 1
+            following[b] = k
             used.add(slug)
             out.append(slug)
-        return pa.table({site: [r[2] for r in rows], seq: pa.array([r[0] for r in rows], pa.int32()), "slug": out})
+        return pa.table({site: pa.array([r[2] for r in rows], pa.string()), seq: pa.array([r[0] for r in rows], pa.int64()), base: pa.array([r[1] for r in rows], pa.string()), "slug": pa.array(out, pa.string())})
 
-    slugs = pages.select(F.col(site).cast("string").alias(site), F.col(seq).cast("int").alias(seq), base).groupBy(site).applyInArrow(fold, schema)
-    return pages.join(slugs, [site, seq])
+    folded = keys.filter("linked").select(site, seq, base, "stem").groupBy(site, "stem").applyInArrow(fold, schema)
+    slugs = plain.union(folded).toDF("__site", "__seq", "__base", "slug")
+    on = F.col(site).cast("string").eqNullSafe(F.col("__site")) & F.col(seq).cast("bigint").eqNullSafe(F.col("__seq")) & (F.col(base) == F.col("__base"))
+    return pages.join(slugs, on, "left").drop("__site", "__seq", "__base")
 
 
 class Frontier:

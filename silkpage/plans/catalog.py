@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from silkpage.plans import html, pages, rules
+from silkpage.plans import html, pages, records, rules
 
-QUERIES: dict = pages.QUERIES | html.QUERIES | rules.QUERIES
-SQL: dict = pages.SQL | html.SQL | rules.SQL
+QUERIES: dict = pages.QUERIES | html.QUERIES | rules.QUERIES | records.QUERIES
+SQL: dict = pages.SQL | html.SQL | rules.SQL | records.SQL

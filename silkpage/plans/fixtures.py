@@ -187,7 +187,6 @@ BOXES = Fixture(
         ("b", 0, "text", "xyz", 0.0, 10.0, 0.0, 0.0, 8.0, 390, 390, 844),
     ),
 )
-HEADERS = Fixture("headers", "site string, server string, cache string, powered string", (("a", "nginx", "", None), ("b", None, "max-age=0", "PHP/8")))
 FAVICON = Fixture("favicon", "site string, n_icons int, ico_status int", (("a", 1, None), ("b", 0, 200), ("c", 0, 404)))
 OUTCOMES = Fixture(
     "outcomes",
@@ -296,7 +295,7 @@ SKIPS_BEFORE = Fixture("skips_before", "site string, reason string", (("a", "off
 SKIPS_AFTER = Fixture("skips_after", "site string, reason string", (("a", "offsite"), ("a", "rate_limited"), ("b", "non_html"), ("c", "offsite")))
 COUNTS_BEFORE = Fixture("counts_before", "site string, slug string, key string, n bigint", (("a", "home", "links", 20), ("a", "home", "images", 5), ("a", "home", "forms", 0), ("a", "about", "links", 100), ("a", "gone", "links", 3)))
 COUNTS_AFTER = Fixture("counts_after", "site string, slug string, key string, n bigint", (("a", "home", "links", 23), ("a", "home", "images", 0), ("a", "home", "forms", 2), ("a", "about", "links", 116)))
-FILES_AFTER = Fixture("files_after", "site string, slug string, file string", tuple(("a", s, f) for s in ("home", "about") for f in ("links.json", "images.json", "headings.json", "readable.md")))
+FILES_AFTER = Fixture("files_after", "site string, slug string, file string", tuple(("a", s, f) for s in ("home", "about") for f in ("links.json", "images.json", "headings.json", "readable.md", "accessibility-tree.json")))
 ASSETS_BEFORE = Fixture("assets_before", "site string, id string, role string", tuple((s, f"i{k}", None) for s, n in (("a", 10), ("b", 3), ("c", 2)) for k in range(n)))
 ASSETS_AFTER = Fixture("assets_after", "site string, id string, role string", (*[("a", f"i{k}", None) for k in range(8)], ("c", "i0", "logo"), ("c", "i1", None)))
 
@@ -319,3 +318,4 @@ HTML_PAGES = Fixture(
         (4, "https://b.test/empty", ""),
     ),
 )
+JOB_DELETES = Fixture("job_deletes", "job_id string", (("a1",), ("a9",), ("no such job",)))

@@ -93,6 +93,6 @@ def image_flags(x):
 SELECT site, 'asset.image.' || lpad((row_number() OVER (PARTITION BY site ORDER BY pos))::VARCHAR, 3, '0') AS id, src AS source_url, lower(split_part(src, '.', -1)) AS ext, alt, n_pages FROM g""",
 )
 def asset_rollup(x):
-    pages = x.select("page_id", U.origin_of(F.col("url")).alias("site"), F.col("page_id").cast("int").alias("seq"), U.slug_base(F.col("url")).alias("slug"), F.col("url").alias("final_url"))
+    pages = x.select("page_id", U.origin_of(F.col("url")).alias("site"), F.col("page_id").cast("bigint").alias("seq"), U.slug_base(F.col("url")).alias("slug"), F.col("url").alias("final_url"))
     a = X.assets(X.child(x, "images").drop("url"), pages)
     return a.select("site", "id", "source_url", "ext", "alt", F.size("appears_on").cast("long").alias("n_pages"))

@@ -257,14 +257,14 @@ def ax_tree(spark, sf_dir):
 SELECT page_id, site, CASE WHEN n = 1 THEN base ELSE base || '-' || (n - 1) END AS slug FROM r""")
 def page_slugs(spark, sf_dir):
     p = pages(spark, sf_dir).select("page_id", U.politeness_key(F.col("url")).alias("site"), U.slug_base(F.col("url")).alias("base"))
-    return C.unique_slugs(p.withColumn("seq", F.col("page_id").cast("int"))).select("page_id", "site", "slug")
+    return C.unique_slugs(p.withColumn("seq", F.col("page_id").cast("bigint"))).select("page_id", "site", "slug")
 
 
 @add("asset_inventory", None)
 def asset_inventory(spark, sf_dir):
     x = parsed(spark, sf_dir, "images", caps=X.FULL)
     images = X.child(x, "images").drop("url")
-    p = pages(spark, sf_dir).select("page_id", U.politeness_key(F.col("url")).alias("site"), F.col("page_id").cast("int").alias("seq"), U.slug_base(F.col("url")).alias("slug"), F.col("url").alias("final_url"))
+    p = pages(spark, sf_dir).select("page_id", U.politeness_key(F.col("url")).alias("site"), F.col("page_id").cast("bigint").alias("seq"), U.slug_base(F.col("url")).alias("slug"), F.col("url").alias("final_url"))
     return X.assets(images, p)
 
 
@@ -274,7 +274,7 @@ def crawl_simulate(spark, sf_dir):
     site = U.politeness_key(F.col("url"))
     p = pages(spark, sf_dir).select(site.alias("site"), "page_id", U.normalize_url(F.col("url")).alias("url"), U.host_of(F.col("url")).alias("host"))
     w = Window.partitionBy("site").orderBy("page_id")
-    nxt = F.array(*[F.struct(F.lead("url", k).over(w).alias("href"), F.lit("nav" if k == 1 else "body").alias("appears_in")) for k in (1, 2, 3)])
+    nxt = F.array(*[F.struct(F.lead("url", k).over(w).alias("href"), F.lit("navigation" if k == 1 else "body").alias("appears_in")) for k in (1, 2, 3)])
     graph = p.withColumn("links", F.filter(nxt, lambda x: x.getField("href").isNotNull())).select(
         "site", "url", F.col("url").alias("final_url"), F.lit(0).alias("attempt"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit(None).cast("int").alias("retry_after"), "links"
     )

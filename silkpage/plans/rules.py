@@ -289,12 +289,6 @@ def mobile_metrics(boxes):
     return S.mobile_metrics(boxes)
 
 
-@add("header_pick", "SELECT site, coalesce(nullif(server, ''), NULL) AS server, nullif(cache, '') AS cache, nullif(powered, '') AS powered FROM headers", X.HEADERS)
-def header_pick(rows):
-    pick = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
-    return rows.select("site", pick("server"), pick("cache"), pick("powered"))
-
-
 @add("favicon", "SELECT site, n_icons > 0 AS dom_link, CASE WHEN n_icons > 0 THEN -1 ELSE ico_status END AS ico_status FROM favicon", X.FAVICON)
 def favicon(rows):
     has = F.col("n_icons") > 0
@@ -374,10 +368,9 @@ def job_health(jobs):
     return jobs.agg(F.least(F.count_if(F.col("status") == "queued"), F.lit(200)).alias("queued"), F.count_if(F.col("status") == "running").alias("active"), F.count_if(~F.col("status").isin("queued", "running")).alias("ended"))
 
 
-@add("job_remove", "SELECT job_id FROM jobs WHERE job_id NOT IN ('a1', 'a9')", X.JOBS)
-def job_remove(jobs):
-    gone = jobs.sparkSession.createDataFrame([("a1",), ("a9",)], "job_id string")
-    return jobs.join(gone, "job_id", "left_anti").select("job_id")
+@add("job_remove", "SELECT job_id FROM jobs WHERE job_id NOT IN (SELECT job_id FROM job_deletes)", X.JOBS, X.JOB_DELETES)
+def job_remove(jobs, deletes):
+    return jobs.join(deletes, "job_id", "left_anti").select("job_id")
 
 
 @add(
@@ -554,9 +547,12 @@ def parity_counts(before, after):
     return P.count_drift(before, after)
 
 
+_WRITTEN = """['accessibility-tree.json', 'blocks.json', 'buttons.json', 'content.html', 'forms.json', 'headings.json', 'images.json', 'links.json', 'metadata.json', 'readable.md', 'structured-data.json', 'visible-text.json']"""
+
+
 @add(
     "parity_files",
-    f"SELECT p.site, p.slug, f.file FROM pages_before p CROSS JOIN (SELECT unnest({list(K.PER_PAGE_FILES)}) AS file) f WHERE NOT EXISTS (SELECT 1 FROM files_after x WHERE x.site = p.site AND x.slug = p.slug AND x.file = f.file)",
+    f"SELECT p.site, p.slug, f.file FROM pages_before p CROSS JOIN (SELECT unnest({_WRITTEN}) AS file) f WHERE NOT EXISTS (SELECT 1 FROM files_after x WHERE x.site = p.site AND x.slug = p.slug AND x.file = f.file)",
     X.PAGES_BEFORE,
     X.FILES_AFTER,
 )

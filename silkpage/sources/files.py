@@ -60,15 +60,28 @@ def is_contained(path: Column) -> Column:
 
 
 def write_children(extracted: DataFrame, root: str, site: Column) -> None:
-    """Every child table of parsed pages as Parquet, partitioned by site."""
-    from silkpage.operators.extract import child
-
-    kept = extracted.withColumn("site", site).persist()
-    sites = kept.select("page_id", "site")
-    for name in ("headings", "links", "images", "forms", "buttons", "visible_text", "blocks"):
-        child(kept, name).join(sites, "page_id").write.mode("overwrite").partitionBy("site").parquet(f"{root}/{name}")
-    kept.select("page_id", "site", "url", "metadata", "json_ld", "readable", "content_html", "ax").write.mode("overwrite").partitionBy("site").parquet(f"{root}/pages")
-    kept.unpersist()
+    """Every child table of parsed pages as Parquet, partitioned by site. Pages are parsed
+    once and written; the child tables are cut from that table, so nothing is shuffled."""
+    columns = ("headings", "links", "images", "forms", "buttons", "visible_text", "blocks")
+    kept = extracted.withColumn("site", site)
+    kept.select("page_id", "site", "url", "metadata", "json_ld", "readable", "content_html", "ax", *columns).write.mode("overwrite").partitionBy("site").parquet(f"{root}/pages")
+    pages = extracted.sparkSession.read.parquet(f"{root}/pages")
+    for name in columns:
+        rows = pages.select("site", "page_id", "url", F.posexplode(name).alias("ord", "r")).select("site", "page_id", "url", "ord", "r.*")
+        rows.write.mode("overwrite").partitionBy("site").parquet(f"{root}/{name}")
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a job's log in one row (column text); '' where there is none yet."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([("",)], "text string")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Log lines or worker events (column value) as text files, replaced as a whole."""
+    lines.select("value").write.mode("overwrite").text(path)
 
 
 def sitemap_xml(pages: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A line that is no JSON is dropped, as a library that writes to the worker's output must
 not break a job. The state of a job is kept by transformWithStateInPandas on the RocksDB
-store: last value of each progress key, and the terminal state once it is known; an
-explicit cancellation is never overwritten. Batches are exact re-runs after a failure
+store: last value of each progress key, the noted error code, and the terminal state once
+it is known; an explicit cancellation is never overwritten. Batches are exact re-runs after a failure
 through the query's checkpoint.
 """
 
@@ -22,6 +22,9 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 EVENT = "job_id string, seq bigint, at_ms bigint, type string, payload string"
 OUT = "job_id string, seq bigint, status string, progress string, code string"
 TERMINAL = ("succeeded", "failed", "cancelled")
+#: Codes of jobs that were stopped, the one for size first, and the events that say so.
+STOPPED = ("artefact_cap_exceeded", "wall_clock_exceeded")
+STOPS = {"oversize": STOPPED[0], "timeout": STOPPED[1]}
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -36,25 +39,31 @@ def parse_events(lines: DataFrame) -> DataFrame:
 
 
 def advance(status: str, progress: dict, code: str | None, kind: str, body: dict) -> tuple[str, dict, str | None]:
-    """One step of a job: queued, running, then one terminal state."""
+    """One step of a job: queued, running, then one terminal state.
+
+    Results and errors are notes (code: the last error's); only a cancellation or the exit
+    ends a job. A job stopped for its size or its time has failed whatever its exit says."""
     if status in TERMINAL:
         return status, progress, code
-    if kind == "start":
-        return "running", progress, None
     if kind == "cancel":
         return "cancelled", progress, None
-    if kind == "progress":
-        return ("running" if status == "queued" else status), progress | {k: v for k, v in body.items() if k != "type" and v is not None}, code
-    if kind == "result":
-        return "succeeded", progress, None
-    if kind == "error":
-        return "failed", progress, body.get("code") or "worker_failed"
     if kind == "exit":
         exit_code = body.get("exit")
+        if code in STOPPED:
+            return "failed", progress, code
         if exit_code == 0:
             return "succeeded", progress, None
         return ("cancelled", progress, code or "aborted") if exit_code == 3 else ("failed", progress, code or "worker_failed")
-    return status, progress, code
+    if kind in STOPS:
+        return status, progress, code if code == STOPPED[0] else STOPS[kind]
+    if kind not in ("start", "progress", "result", "error"):
+        return status, progress, code
+    if kind == "progress":
+        progress = progress | {k: v for k, v in body.items() if k != "type" and v is not None}
+    if kind == "error" and code not in STOPPED:
+        error = body.get("error")
+        code = (error.get("code") if isinstance(error, dict) else None) or code
+    return "running", progress, code
 
 
 class JobStates(StatefulProcessor):
