@@ -6,7 +6,8 @@ driver from the fixed wordings below, their parts, and a bounded sample of diffe
 paragraphs of the corpus that have none of the CUES and are not similar to any of the
 wordings; n-grams that such paragraphs have are no features, so that what remains is
 rare outside licences. The temperature of its
-probabilities is fitted on wordings kept out of training, and a family needs CONFIDENCE.
+probabilities is fitted on whole wordings and a whole family kept out of training, and a
+family needs CONFIDENCE.
 A prediction stands only if a wording of the family is found in the paragraph: of the
 shorter of the two, SIMILARITY of the word pairs are shared.
 
@@ -32,6 +33,8 @@ from .common import table
 #: Paragraphs of the corpus that training sees at most.
 NEGATIVES = 3_000
 CONFIDENCE, SIMILARITY = 0.5, 0.6
+#: The family that calibration takes for unknown.
+KEPT_OUT = "cc0"
 UNKNOWN = "unknown"
 CUES = r"(?i)licen[cs]|copyright|rights reserved|warrant|permission|redistribut"
 #: Wordings of licence notices, by family.
@@ -141,56 +144,79 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _fit(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts of a softmax regression; families and the unknown weigh the same."""
+    w, b = np.zeros((x.shape[1], n)), np.zeros(n)
+    b[n - 1] = 1.0
+    target = np.eye(n)[y]
+    weight = np.where(y == n - 1, 0.5 / max(1, (y == n - 1).sum()), 0.5 / max(1, (y != n - 1).sum()))[:, None]
+    for _ in range(400):
+        err = (_softmax(x @ w + b) - target) * weight
+        w -= 12 * (x.T @ err + 1e-5 * w)
+        w = np.sign(w) * np.maximum(np.abs(w) - 12 * 2e-6, 0)  # few features keep a weight
+        b -= 12 * err.sum(axis=0) * 0.1
+    return w, b
+
+
 def train(docs: DataFrame, text: str = "text", negatives: int = NEGATIVES) -> dict:
-    """The model: families, features (hash, weights), intercepts, temperature, wordings."""
+    """The model: families, features (hash, weights), intercepts, temperature, wordings.
+
+    The temperature is fitted on a regression that has never seen the last wording of any
+    family that has several, nor the whole family KEPT_OUT, which must come out as unknown
+    (held_out_loss; held_out_unknown: share of that family's lines that do). The model
+    itself is then fitted on all wordings."""
     spark = docs.sparkSession
     families = [*sorted(WORDINGS), UNKNOWN]
+    none = len(families) - 1
     known = [(k, s) for k, name in enumerate(families[:-1]) for s in WORDINGS[name]]
     wordings = [(k, sorted(set(gs))) for (k, _), gs in zip(known, _hashed(spark, [s for _, s in known]), strict=True)]
-    # About `negatives` documents by a hash of their texts, then that many of their different
-    # lines. Lines like a wording are none, however often they occur and whatever their words.
-    one_in = max(1, docs.count() // negatives)
-    some = docs.filter(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0)
-    lines = some.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("p")).filter(F.trim("p") != "").filter(~F.col("p").rlike(CUES)).distinct()
-    lines = lines.filter(_let(F.array_distinct(_let(_tokens(F.col("p")), _grams)), lambda g: _alike(_wordings(wordings), g)) < SIMILARITY)
-    sample = [r.p for r in lines.select("p", F.xxhash64("p").alias("h")).orderBy("h", "p").limit(negatives).select("p").collect()]
     texts, labels, kept_out = [], [], []
     for k, name in enumerate(families[:-1]):
-        for s in WORDINGS[name]:
+        for i, s in enumerate(WORDINGS[name]):
             ws = s.split()
             parts = [s, "Copyright 2020 The Authors. " + s, s + " See the file for details.", "Notice: " + s]
             if len(ws) > 11:
                 parts += [" ".join(ws[: len(ws) * 2 // 3]), " ".join(ws[len(ws) // 3 :])]
+            out = name == KEPT_OUT or 0 < i == len(WORDINGS[name]) - 1
             texts += parts
             labels += [k] * len(parts)
-            kept_out += [False, True, False, True, False, False][: len(parts)]
-    none = len(families) - 1
-    rest = [*LOOKALIKES, *sample]
-    texts += rest
-    labels += [none] * len(rest)
-    kept_out += [i % 5 == 4 for i in range(len(rest))]
+            kept_out += [out] * len(parts)
+    texts += LOOKALIKES
+    labels += [none] * len(LOOKALIKES)
+    kept_out += [i % 5 == 4 for i in range(len(LOOKALIKES))]
     grams = _hashed(spark, texts)
-    y, out = np.array(labels), np.array(kept_out)
-    common = {g for gs in grams[len(texts) - len(sample) :] for g in gs}
-    names = sorted({g for gs, k in zip(grams, y, strict=True) if k != none for g in gs} - common)
+    candidates = sorted({g for gs, k in zip(grams, labels, strict=True) if k != none for g in gs})
+    # About `negatives` documents by a hash of their texts, then that many of their different
+    # lines. Lines like a wording are none, however often they occur and whatever their words.
+    # Of them only the n-grams come here that a wording has too: no more than there are of those.
+    one_in = max(1, docs.count() // negatives)
+    some = docs.filter(F.pmod(F.xxhash64(text), F.lit(one_in)) == 0)
+    lines = some.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("p")).filter(F.trim("p") != "").filter(~F.col("p").rlike(CUES)).distinct()
+    lines = lines.filter(_let(F.array_distinct(_let(_tokens(F.col("p")), _grams)), lambda g: _alike(_wordings(wordings), g)) < SIMILARITY)
+    lines = lines.select(F.xxhash64("p").alias("h"), F.array_intersect(F.array_distinct(_let(_tokens(F.col("p")), _grams)), _constant(candidates, "array<bigint>")).alias("g"))
+    sample = lines.orderBy("h").limit(negatives).collect()
+    common = {g for r in sample for g in r.g}
+    names = [g for g in candidates if g not in common]
     at = {g: i for i, g in enumerate(names)}
-    x = np.zeros((len(texts), len(names)))
+    x = np.zeros((len(texts) + len(sample), len(names)))  # what a sampled line has is no feature
     for r, gs in enumerate(grams):
         x[r, [at[g] for g in gs if g in at]] = 1
-    w, b = np.zeros((len(names), len(families))), np.zeros(len(families))
-    b[none] = 1.0
-    fit, target = x[~out], np.eye(len(families))[y[~out]]
-    weight = np.where(y[~out] == none, 0.5 / max(1, (y[~out] == none).sum()), 0.5 / (y[~out] != none).sum())[:, None]
-    for _ in range(400):
-        err = (_softmax(fit @ w + b) - target) * weight
-        w -= 12 * (fit.T @ err + 1e-5 * w)
-        w = np.sign(w) * np.maximum(np.abs(w) - 12 * 2e-6, 0)  # few features keep a weight
-        b -= 12 * err.sum(axis=0) * 0.1
+    y = np.array(labels + [none] * len(sample))
+    out = np.array(kept_out + [i % 5 == 4 for i in range(len(sample))])
+    w, b = _fit(x[~out], y[~out], len(families))
+    truth = np.where(y == families.index(KEPT_OUT), none, y)[out]
     z = x[out] @ w + b
-    losses = {t: -np.log(_softmax(z / t)[np.arange(out.sum()), y[out]] + 1e-12).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
+    losses = {t: -np.log(_softmax(z / t)[np.arange(out.sum()), truth] + 1e-12).mean() for t in (0.5, 0.7, 1.0, 1.4, 2.0, 3.0)}
     temperature = min(losses, key=losses.get)
+    best = _softmax(z / temperature)
+    strange = y[out] == families.index(KEPT_OUT)
+    unknown = (best[strange].argmax(axis=1) == none) | (best[strange].max(axis=1) < CONFIDENCE)
+    w, b = _fit(x, y, len(families))
     features = [(h, [round(float(v), 5) for v in w[i]]) for h, i in at.items() if np.abs(w[i]).max() > 1e-4]
-    return {"families": families, "features": features, "intercepts": [float(v) for v in b], "temperature": temperature, "wordings": wordings, "held_out_loss": losses[temperature]}
+    return {
+        "families": families, "features": features, "intercepts": [float(v) for v in b], "temperature": temperature, "wordings": wordings,
+        "held_out_loss": losses[temperature], "held_out_unknown": float(unknown.mean()),
+    }
 
 
 def _constant(value, kind: str) -> Column:
