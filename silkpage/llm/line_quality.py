@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import table, words
 
 SYMBOLS = "#*$%&|<>"
-#: Phrases of page furniture, in lower case.
+#: Phrases of page furniture, in lower case, of the corpus' four languages.
 BOILERPLATE = (
     "all rights reserved",
     "accept cookies",
@@ -41,16 +41,25 @@ BOILERPLATE = (
     "sign up for our newsletter",
     "terms of use",
     "use of cookies",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "datenschutzbestimmungen",
+    "hier klicken",
+    "newsletter abonnieren",
+    "accepter les cookies",
+    "cliquez ici",
+    "mentions légales",
+    "tous droits réservés",
+    "aceptar cookies",
+    "haga clic aquí",
+    "política de privacidad",
+    "todos los derechos reservados",
 )
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50
 MAX_LOST_PCT = 30
 
 
-#: Beyond so many different repeated windows their positions are found by sorting.
-FEW = 64
-
-
 def _hashed(ws: Column) -> Column:
     """The 64-bit hashes of the three-word windows, in order."""
     n = F.size(ws)
@@ -59,17 +68,11 @@ def _hashed(ws: Column) -> Column:
     return F.when(n < 3, none).otherwise(win)
 
 
-def _repeated_at(h: Column, s: Column, d: Column) -> Column:
-    """Ascending positions of repeated windows; h: hashes, s: h sorted, d: the repeated ones."""
-    looked_up = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(d, x), i)), lambda i: i.isNotNull())
+def _repeated_at(h: Column, s: Column) -> Column:
+    """Ascending positions of repeated windows; h: hashes, s: h sorted."""
     pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    by_sorting = F.sort_array(
-        F.filter(
-            F.zip_with(pairs, F.transform(s, lambda x, k: (x == F.get(s, k - 1)) | (x == F.get(s, k + 1))), lambda p, again: F.when(again, p.getField("i"))),
-            lambda i: i.isNotNull(),
-        )
-    )
-    return F.when(F.size(d) <= FEW, looked_up).otherwise(by_sorting)
+    again = F.zip_with(pairs, F.transform(s, lambda x, k: (x == F.get(s, k - 1)) | (x == F.get(s, k + 1))), lambda p, a: F.when(a, p.getField("i")))
+    return F.sort_array(F.filter(again, lambda i: i.isNotNull()))
 
 
 def _covered(at: Column) -> Column:
@@ -123,7 +126,7 @@ def clean_lines(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, m
     """df with clean_text and the counts n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, n_lines_removed, n_words_lost (long), base_failed and kept."""
     body = F.coalesce(F.col(text), F.lit(""))
-    ws, h, s, d, marks = (F.col(f"__{x}") for x in ("words", "h", "s", "d", "marks"))
+    ws, h, s, marks = (F.col(f"__{x}") for x in ("words", "h", "s", "marks"))
     step = df.withColumn("__words", words(F.col(text))).withColumns(
         {
             "__h": _hashed(ws),
@@ -143,7 +146,6 @@ def clean_lines(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, m
         }
     ).withColumns(
         {
-            "__d": F.when(s.isNotNull(), F.array_distinct(F.filter(F.transform(s, lambda x, k: F.when(x == F.get(s, k + 1), x)), lambda x: x.isNotNull()))),
             "__good": F.filter(marks, lambda m: ~line_fails(m)),
         }
     )
@@ -151,7 +153,7 @@ def clean_lines(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, m
     clean = F.array_join(F.transform(F.col("__good"), lambda m: m.getField("line")), "\n")
     step = step.withColumns(
         {
-            "n_repeat_words": F.coalesce(_covered(F.when(d.isNotNull(), _repeated_at(h, s, d))), F.lit(0).cast("bigint")),
+            "n_repeat_words": F.coalesce(_covered(F.when(s.isNotNull(), _repeated_at(h, s))), F.lit(0).cast("bigint")),
             "n_lines_removed": F.when(marks.isNull(), F.lit(0)).otherwise(F.size(marks) - F.size("__good")).cast("long"),
             "n_words_lost": F.when(marks.isNull(), F.lit(0)).otherwise(F.col("n_words") - good_n).cast("long"),
             "clean_text": F.when(marks.isNull(), body).otherwise(clean),
@@ -159,7 +161,7 @@ def clean_lines(df: DataFrame, text: str = "text", min_words: int = MIN_WORDS, m
     )
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     enough = (100 * F.col("n_words_lost") <= max_lost_pct * F.col("n_words")) & (F.col("n_words") - F.col("n_words_lost") >= min_words)
-    return step.withColumns({"base_failed": base, "kept": ~base & enough}).drop("__words", "__h", "__s", "__d", "__worded", "__marks", "__good")
+    return step.withColumns({"base_failed": base, "kept": ~base & enough}).drop("__words", "__h", "__s", "__worded", "__marks", "__good")
 
 
 def op2_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
