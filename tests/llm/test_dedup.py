@@ -66,6 +66,15 @@ def test_near_edges(edge, nothing):
     assert N.near_duplicates(nothing).count() == 0
 
 
+def test_a_doc_id_of_several_texts_is_linked_by_any_of_them(spark):
+    rng = random.Random(7)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(40))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, c), (0, c + " more"), (5, text())]
+    got = {(r.doc_id, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=2).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 0), (0, 0), (5, 5)}
+
+
 @pytest.mark.parametrize("percent", [0, 50, 79])
 def test_percent_outside_the_bounds_is_refused(edge, percent):
     with pytest.raises(ValueError):
