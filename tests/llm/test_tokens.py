@@ -289,3 +289,24 @@ def test_pipeline_stages(spark, sf, docs):
     ids = current.first()
     assert ids.n_tokens == len(ids.ids)
     assert C.run(spark, sf).count() == current.count()
+
+
+def test_pipeline_on_edge_rows_and_nothing(spark, sf, edge, nothing):
+    """Every stage takes nulls, empty and repeated texts, clashing columns and no rows."""
+    import corpus_pipeline as C
+    from silkpage.llm.common import materialize
+
+    kept = {}
+    for docs in (edge, nothing):
+        current = docs
+        for name, stage in C.STAGES:
+            before = current.count()
+            current = materialize(stage(spark, current, sf), f"edge-{name}")
+            kept[name] = (before, current.count())
+            assert kept[name][1] <= before
+            if name != "bpe":
+                assert sorted(current.columns) == ["doc_id", "lang", "n_chars", "source", "text"]
+        if docs is edge:
+            assert kept["near_dup"][1] < kept["near_dup"][0] and kept["bpe"][1] > 0
+            assert all(r.n_tokens == len(r.ids) for r in current.collect())
+    assert current.count() == 0
