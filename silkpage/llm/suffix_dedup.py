@@ -50,7 +50,7 @@ HOT = 2_000
 #: Bytes up to which suffixes are compared directly.
 SHORT = 256
 #: Minimizers that a task packs at once, and bytes of text that it hashes at once.
-CHUNK, STEP = 700_000, 1 << 18
+CHUNK, STEP = 500_000, 1 << 18
 #: Bytes of text in one part of the documents when spans meet their texts, about.
 PART_BYTES = 6 << 20
 
