@@ -82,7 +82,8 @@ def unique_slugs(pages: DataFrame, base: str = "base", order: Sequence[str] = ("
     the stem that they share; a site's other pages need no common task. Null bases have no
     slug; of equal seq the smaller base goes first."""
     site, seq = order
-    keys = pages.select(F.col(site).cast("string").alias(site), F.col(seq).cast("bigint").alias(seq), base).filter(F.col(base).isNotNull())
+    named = F.coalesce(F.col(site).cast("string"), F.lit("\x00"))  # a null site is one of its own
+    keys = pages.select(named.alias(site), F.col(seq).cast("bigint").alias(seq), base).filter(F.col(base).isNotNull())
     stem = F.regexp_replace(base, r"(-[0-9]+)+$", "")
     bases = keys.select(site, base, stem.alias("stem")).distinct()
     several = bases.groupBy(site, "stem").agg((F.count(F.lit(1)) > 1).alias("linked"))
@@ -107,7 +108,7 @@ def unique_slugs(pages: DataFrame, base: str = "base", order: Sequence[str] = ("
 
     folded = keys.filter("linked").select(site, seq, base, "stem").groupBy(site, "stem").applyInArrow(fold, schema)
     slugs = plain.union(folded).toDF("__site", "__seq", "__base", "slug")
-    on = F.col(site).cast("string").eqNullSafe(F.col("__site")) & F.col(seq).cast("bigint").eqNullSafe(F.col("__seq")) & (F.col(base) == F.col("__base"))
+    on = (named == F.col("__site")) & F.col(seq).cast("bigint").eqNullSafe(F.col("__seq")) & (F.col(base) == F.col("__base"))
     return pages.join(slugs, on, "left").drop("__site", "__seq", "__base")
 
 
