@@ -163,10 +163,14 @@ def mix(
     return done.filter("__copies > 0").drop("__rest", "__at", "__slice", "__edge", "__edge_before", "__more", "__lang", "__source", "__hash")
 
 
+def lang_weights(domain=ANY) -> dict[tuple, float]:
+    """The target weights by language, in one domain or in every one."""
+    return {(domain, k): v for k, v in LANG_WEIGHTS.items()}
+
+
 def target_weights() -> dict[tuple, float]:
     """The target weights of all three levels."""
-    out = {(k,): v for k, v in DOMAIN_WEIGHTS.items()}
-    return out | {(ANY, k): v for k, v in LANG_WEIGHTS.items()} | {(ANY, ANY, k): v for k, v in SOURCE_WEIGHTS.items()}
+    return {(k,): v for k, v in DOMAIN_WEIGHTS.items()} | lang_weights() | {(ANY, ANY, k): v for k, v in SOURCE_WEIGHTS.items()}
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
