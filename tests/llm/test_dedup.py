@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from silkpage.llm import near_dup as N
 from silkpage.llm import suffix_dedup as D
 from silkpage.llm.components import components
@@ -54,6 +55,30 @@ def test_family_of_near_copies(spark):
     assert got == sorted((i, n, c, i == c) for i, n, c in brute_components(rows, 2))
 
 
+def test_wide_buckets_are_split(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(docs, shingle=2, wide=0).collect())
+    assert got == sorted(brute_components(rows, 2))
+
+
+@pytest.mark.parametrize("per_group", [1, 4])
+def test_compared_rows_of_one_band_key_grow_linearly(spark, per_group):
+    """Unlinked classes that all share one band key; every per_group of them a second one."""
+
+    def compared(n):
+        nodes = spark.range(n).select(F.col("id").alias("node"))
+        spread = nodes.select("node", F.lit(9).cast("long").alias("n_shingles"), F.array(F.lit(0).cast("long")).alias("sketch"), F.lit(b"").alias("map"))
+        own = F.transform(F.sequence(F.lit(1), F.lit(38)), lambda b: F.xxhash64("node", b))
+        bands = nodes.select("node", F.concat(F.array(F.lit(7).cast("long"), F.floor(F.col("node") / per_group) + 100), own).alias("bands"))
+        none = spark.createDataFrame([], "node bigint, comp bigint")
+        work = N._tasks(nodes.select(F.lit(7).cast("long").alias("key"), "node"), none, spread, bands, 1_000)
+        return work.count()
+
+    small, large = compared(5_000), compared(20_000)
+    # Of four classes one is the main component: three in two left blocks each, three right, one major.
+    assert small == {1: 0, 4: 10 * 5_000 // 4}[per_group] and large == 4 * small
+
+
 def test_near_edges(edge, nothing):
     got = N.near_duplicates(edge, shingle=2).collect()
     assert len(got) == edge.count()
@@ -146,7 +171,7 @@ def test_hot_minimizers_are_split(spark):
     passage = " ".join(word() for _ in range(25))
     rows = [(k, " ".join(word() for _ in range(rng.randint(0, 20))) + passage[rng.randrange(8) :] + word()) for k in range(80)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for hot in (1, 10**6):
+    for hot in (0, 1, 10**6):
         got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in D.remove_repeats(df, hot=hot).collect()), key=str)
         assert got == brute_spans(rows)
 
