@@ -20,6 +20,11 @@ B  The surroundings of these are read from the texts, each bucket of them is a b
    `length` bytes are combined in each part of the documents and dealt by their bytes.
 C  Spans meet their texts, in parts of bounded size, and are cut out.
 
+A minimizer that has many different surroundings within one chunk (more than its share
+of 4 * HOT) sends them, but for one that says so, to tasks dealt by the surroundings, so
+that no task meets all of a common string. Representatives of equal surroundings from
+both kinds of task are compared by their bytes in B.
+
 A copied text or passage is combined in its chunk before the shuffle: one entry a chunk
 and distinct surroundings, however many documents have it.
 
@@ -51,6 +56,8 @@ HOT = 2_000
 SHORT = 256
 #: Minimizers that a task packs at once, and bytes of text that it hashes at once.
 CHUNK, STEP = 500_000, 1 << 18
+#: Bytes of text for one minimizer, about.
+SPACING = 15
 #: Bytes of text in one part of the documents when spans meet their texts, about.
 PART_BYTES = 6 << 20
 
@@ -295,7 +302,7 @@ def _batches(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[tuple[lis
         yield ids, fps, texts
 
 
-def _gather(buckets: int, length: int, gram: int):
+def _gather(buckets: int, length: int, gram: int, crowd: int):
     reach = length - gram
 
     @tidy
@@ -307,12 +314,18 @@ def _gather(buckets: int, length: int, gram: int):
             order, _, settled = settle(h & MASK48, c, doc)
             bucket = (h >> U(48)).astype(np.int64) * buckets >> 16
             bucket, h, c, doc, fp, pos = (x[order] for x in (bucket, h & MASK48, c, doc, fp, pos))
-            by = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                mine = by[edges[b] : edges[b + 1]]
-                blob = pack(*(x[mine] for x in (h, c, doc, fp, pos, settled)))
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "blob"])
+            new = np.r_[True, h[1:] != h[:-1]]
+            run = np.cumsum(new) - 1
+            crowded = ~settled & (np.bincount(run, ~settled)[run] > crowd)
+            dealt = crowded & ~new
+            bucket[dealt] = buckets + ((c[dealt] >> U(32)).astype(np.int64) * buckets >> 16)
+            for hot in (False, True):
+                some = np.flatnonzero(crowded == hot)
+                some = some[np.argsort(bucket[some], kind="stable")]
+                numbers, begin = np.unique(bucket[some], return_index=True)
+                for b, mine in zip(numbers.tolist(), np.split(some, begin[1:]), strict=False):
+                    blob = pack(*(x[mine] for x in (h, c, doc, fp, pos, settled)))
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([hot]), pa.array([blob], pa.binary())], ["bucket", "hot", "blob"])
 
         for ids, fps, texts in _batches(batches, STEP):
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -379,6 +392,8 @@ def _meet(parts: int, length: int, gram: int, most: int):
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         """Of one bucket: spans settled as repeats, and open places that need their bytes."""
         unpacked = [unpack(b.as_py()) for b in group.column("blob")]
+        crowded = [x[0][~x[5]] for x, hot in zip(unpacked, group.column("hot").to_pylist(), strict=True) if hot]
+        crowded = np.unique(np.concatenate([np.empty(0, np.uint64), *crowded]))
         h, c, doc, fp, pos, done = (np.concatenate(x) for x in zip(*unpacked, strict=True))
         early = doc[done], fp[done], pos[done]
         h, c, doc, fp, pos = (x[~done] for x in (h, c, doc, fp, pos))
@@ -391,8 +406,9 @@ def _meet(parts: int, length: int, gram: int, most: int):
             begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             size = np.diff(np.r_[begin, len(h)])
             several = (np.maximum.reduceat(same, begin) != np.minimum.reduceat(same, begin)) & (np.maximum.reduceat(doc, begin) != np.minimum.reduceat(doc, begin))
-            need = np.repeat(several, size)
-            hot = np.repeat(size > most, size)[need]
+            many = np.isin(h, crowded)
+            need = np.repeat(several, size) | many
+            hot = (np.repeat(size > most, size) | many)[need]
             anchor = ((h[need] | U(key[0].as_py()) << U(48)) & ~U(1) | hot.astype(np.uint64)).view(np.int64)
             rows += _by_part(doc[need], fp[need], pos[need], anchor, parts, True)
         return _span_table(rows)
@@ -499,7 +515,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(1 << 16, max(64, total // BUCKET_BYTES))
     parts = _prime(max(64, total // PART_BYTES))
-    gathered = docs.select("doc_id", "fp", "text").mapInArrow(_gather(buckets, length, gram), "bucket int, blob binary")
+    crowd = int(max(1, 4 * hot * CHUNK * SPACING // max(total, CHUNK * SPACING)))
+    gathered = docs.select("doc_id", "fp", "text").mapInArrow(_gather(buckets, length, gram, crowd), "bucket int, hot boolean, blob binary")
     found = materialize(gathered.groupBy("bucket").applyInArrow(_meet(parts, length, gram, hot), SPANS), "repeat-places")
     wanted = found.filter("open")
     entry = 25  # bytes of a packed place
