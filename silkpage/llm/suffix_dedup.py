@@ -9,20 +9,22 @@ Over a corpus the block must stay bounded, so the texts are cut down to what can
 
 A  Every `length`-byte string holds a minimizer, the smallest of the hashes of its
    GRAM-byte strings, at a place that only its bytes decide. Each text's minimizers go,
-   with a hash of their surroundings (everything that a string around them can reach),
-   packed by chunk and bucket to tasks that sort them. Occurrences with equal
+   with a hash of their surroundings (the strings whose minimizer they are, one after the
+   other), packed by chunk and bucket to tasks that sort them. Occurrences with equal
    surroundings (96 bits) are settled there, or already in their chunk: all but those
    of the smallest doc_id are repeats as a whole. What is left are minimizers with
    different surroundings in different documents: edges of repeats.
 B  The surroundings of these are read from the texts, each bucket of them is a block,
    and its maximal repeats give the exact borders. A minimizer with more than HOT
    different surroundings (a passage that very many texts share) is split: its strings of
-   `length` bytes are combined in each part of the documents and dealt by their bytes.
+   `length` bytes are combined in each part of the documents and dealt by their bytes, and
+   suffixes are sorted by that many bytes only. An occurrence costs about the same either
+   way, so that work stays in proportion to the input however many become hot.
 C  Spans meet their texts, in parts of bounded size, and are cut out.
 
-A minimizer that has many different surroundings within one chunk (more than its share
-of 4 * HOT) sends them, but for one that says so, to tasks dealt by the surroundings, so
-that no task meets all of a common string. Representatives of equal surroundings from
+A minimizer that has many different surroundings within one chunk (more than CROWD and
+than its share of 4 * HOT) sends them, but for one that says so, to tasks dealt by the
+surroundings, so that no task meets all of a common string. Representatives of equal surroundings from
 both kinds of task are compared by their bytes in B.
 
 A copied text or passage is combined in its chunk before the shuffle: one entry a chunk
@@ -37,7 +39,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,12 @@ LENGTH, GRAM = 50, 20
 #: Bytes of text for each bucket of minimizers, and surroundings in each block.
 BUCKET_BYTES, BLOCK_SURROUNDINGS = 4 << 20, 8_000
 #: Different surroundings of one minimizer that stay together in a block.
-HOT = 2_000
+HOT = 16_000
+#: Different surroundings of one minimizer that a chunk may send to one task, whatever the
+#: input's size: 1 in 8,000 of the chunk's minimizers.
+CROWD = 64
+#: Strings of hot minimizers in each block of them, and strings or bytes cut out at once, about.
+WINDOWS = 250_000
 #: Bytes up to which suffixes are compared directly.
 SHORT = 256
 #: Minimizers that a task packs at once, and bytes of text that it hashes at once.
@@ -221,18 +227,22 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     return out
 
 
-def minimizers(hasher: Hasher, text: np.ndarray, ends: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Places in the loaded buffer of the minimizers of all strings of `length` bytes."""
+def minimizers(hasher: Hasher, text: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the minimizers of all strings of `length` bytes in the loaded buffer: their places,
+    the first string that has them, and how many in a row do."""
     w = length - gram + 1
     if len(text) < length:
-        return np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 3
     at = np.arange(len(text) - gram + 1)
     h = hasher.of(at, at + gram) | U(1)
     low = _sliding(h, w, np.minimum)
     inside = ends[: len(low)] - np.arange(len(low)) >= length
     low = np.where(inside, low, U(0))
-    high = _sliding(np.r_[np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)], w, np.maximum)
-    return np.flatnonzero(high == h)
+    low = np.r_[np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)]
+    p = np.flatnonzero(_sliding(low, w, np.maximum) == h)
+    # Of the strings that start at p - w + 1 to p, those with this minimizer are neighbours.
+    own = np.lib.stride_tricks.sliding_window_view(low, w)[p] == h[p, None]
+    return p, p - w + 1 + own.argmax(axis=1), own.sum(axis=1)
 
 
 def _planes(x: np.ndarray, width: int) -> bytes:
@@ -302,8 +312,22 @@ def _batches(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[tuple[lis
         yield ids, fps, texts
 
 
+class Places:
+    """Surroundings as one number: where they start, and how many strings they are."""
+
+    def __init__(self, length: int, gram: int):
+        self.length, self.bits = length, (length - gram).bit_length()
+
+    def of(self, lo: np.ndarray, strings: np.ndarray) -> np.ndarray:
+        return lo << self.bits | strings - 1
+
+    def spans(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lo = place >> self.bits
+        return lo, lo + (place & (1 << self.bits) - 1) + self.length
+
+
 def _gather(buckets: int, length: int, gram: int, crowd: int):
-    reach = length - gram
+    places = Places(length, gram)
 
     @tidy
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,12 +335,12 @@ def _gather(buckets: int, length: int, gram: int, crowd: int):
 
         def chunk() -> Iterator[pa.RecordBatch]:
             h, c, doc, fp, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, _, settled = settle(h & MASK48, c, doc)
+            order, same, settled = settle(h & MASK48, c, doc)
             bucket = (h >> U(48)).astype(np.int64) * buckets >> 16
             bucket, h, c, doc, fp, pos = (x[order] for x in (bucket, h & MASK48, c, doc, fp, pos))
             new = np.r_[True, h[1:] != h[:-1]]
             run = np.cumsum(new) - 1
-            crowded = ~settled & (np.bincount(run, ~settled)[run] > crowd)
+            crowded = ~settled & (np.bincount(run, np.r_[True, same[1:] != same[:-1]])[run] > crowd)
             dealt = crowded & ~new
             bucket[dealt] = buckets + ((c[dealt] >> U(32)).astype(np.int64) * buckets >> 16)
             for hot in (False, True):
@@ -333,13 +357,12 @@ def _gather(buckets: int, length: int, gram: int, crowd: int):
             last = np.cumsum(sizes)
             owner = np.repeat(np.arange(len(texts)), sizes)
             hasher.load(text)
-            p = minimizers(hasher, text, last[owner], length, gram)
+            p, lo, strings = minimizers(hasher, text, last[owner], length, gram)
             who = owner[p]
-            first, end = (last - sizes)[who], last[who]
-            lo, hi = np.maximum(p - reach, first), np.minimum(p + gram + reach, end)
+            hi = lo + strings + length - 1
             c = _mix(hasher.of(lo, hi) + (p - lo).astype(np.uint64) * U(257) + (hi - p).astype(np.uint64)) & MASK48
             h = _mix(hasher.of(p, p + gram) + U(MULTIPLIER))  # anew: minimizers are the small hashes
-            held.append((h, c, np.array(ids, np.int64)[who], np.array(fps, np.int64).view(np.uint64)[who] & U(0xFFFFFFFF), p - first))
+            held.append((h, c, np.array(ids, np.int64)[who], np.array(fps, np.int64).view(np.uint64)[who] & U(0xFFFFFFFF), places.of(lo - (last - sizes)[who], strings)))
             size += len(p)
             if size >= CHUNK:
                 yield from chunk()
@@ -351,7 +374,9 @@ def _gather(buckets: int, length: int, gram: int, crowd: int):
     return gather
 
 
-SPANS = "part int, open boolean, blob binary"
+#: Spans that are settled, places whose surroundings go to a block, and hot ones.
+SPAN, PLACE, HOT_PLACE = range(3)
+SPANS = "part int, kind int, blob binary"
 
 
 def pack_spans(doc: np.ndarray, fp: np.ndarray, lo: np.ndarray, more: np.ndarray) -> bytes:
@@ -371,22 +396,22 @@ def unpack_spans(blobs: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(x) for x in out]
 
 
-def _by_part(doc, fp, lo, more, parts: int, open_: bool) -> Iterator[tuple[int, bool, bytes]]:
+def _by_part(doc, fp, lo, more, parts: int, kind: int) -> Iterator[tuple[int, int, bytes]]:
     part = doc % parts
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     for k in np.flatnonzero(np.diff(edges)).tolist():
         mine = order[edges[k] : edges[k + 1]]
-        yield k, open_, pack_spans(doc[mine], fp[mine], lo[mine], more[mine])
+        yield k, kind, pack_spans(doc[mine], fp[mine], lo[mine], more[mine])
 
 
-def _span_table(rows: list[tuple[int, bool, bytes]]) -> pa.Table:
-    part, open_, blob = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"part": pa.array(part, pa.int32()), "open": pa.array(open_, pa.bool_()), "blob": pa.array(blob, pa.binary())})
+def _span_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    part, kind, blob = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table({"part": pa.array(part, pa.int32()), "kind": pa.array(kind, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
 
 def _meet(parts: int, length: int, gram: int, most: int):
-    reach = length - gram
+    places = Places(length, gram)
 
     @tidy_group
     def meet(key: tuple, group: pa.Table) -> pa.Table:
@@ -400,17 +425,19 @@ def _meet(parts: int, length: int, gram: int, most: int):
         order, same, settled = settle(h, c, doc)
         h, doc, fp, pos = (x[order] for x in (h, doc, fp, pos))
         d, f, p = (np.concatenate([x, y[settled]]) for x, y in zip(early, (doc, fp, pos), strict=True))
-        rows = list(_by_part(d, f, np.maximum(p - reach, 0), p + gram + reach, parts, False))
+        rows = list(_by_part(d, f, *places.spans(p), parts, SPAN))
         h, doc, fp, pos, same = (x[~settled] for x in (h, doc, fp, pos, same))
         if len(h):
             begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             size = np.diff(np.r_[begin, len(h)])
             several = (np.maximum.reduceat(same, begin) != np.minimum.reduceat(same, begin)) & (np.maximum.reduceat(doc, begin) != np.minimum.reduceat(doc, begin))
+            distinct = np.add.reduceat(np.r_[True, same[1:] != same[:-1]], begin, dtype=np.int64)
             many = np.isin(h, crowded)
-            need = np.repeat(several, size) | many
-            hot = (np.repeat(size > most, size) | many)[need]
-            anchor = ((h[need] | U(key[0].as_py()) << U(48)) & ~U(1) | hot.astype(np.uint64)).view(np.int64)
-            rows += _by_part(doc[need], fp[need], pos[need], anchor, parts, True)
+            hot = np.repeat(several & (distinct > most), size) | many
+            cool = np.repeat(several, size) & ~hot
+            anchor = (h[cool] | U(key[0].as_py()) << U(48)).view(np.int64)
+            rows += _by_part(doc[cool], fp[cool], pos[cool], anchor, parts, PLACE)
+            rows += _by_part(doc[hot], fp[hot], pos[hot], np.zeros(int(hot.sum()), np.int64), parts, HOT_PLACE)
         return _span_table(rows)
 
     return meet
@@ -432,7 +459,7 @@ class Texts:
         return self.texts[k].as_py()
 
 
-SURROUNDINGS = "block int, doc_id array<bigint>, fp array<bigint>, lo array<bigint>, body array<binary>"
+SURROUNDINGS = "block int, doc_id array<bigint>, fp array<bigint>, lo array<bigint>, size array<int>, body binary"
 
 
 def _runs(doc: np.ndarray, fp: np.ndarray) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
@@ -444,50 +471,109 @@ def _runs(doc: np.ndarray, fp: np.ndarray) -> Iterator[tuple[tuple[int, int], np
         yield (int(d[a]), int(f[a])), order[a:b]
 
 
-def _cut_surroundings(blocks: int, length: int, gram: int):
-    reach = length - gram
+def _bodies(block: np.ndarray, doc: np.ndarray, fp: np.ndarray, lo: np.ndarray, size: np.ndarray, body: np.ndarray) -> pa.Table:
+    """SURROUNDINGS of strings in the order of their blocks; body: their bytes in a row."""
+    new = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.empty(0, np.int64)
+    edges = pa.array(np.r_[new, len(block)], pa.int32())
+    ends = np.r_[0, np.cumsum(size)][np.r_[new, len(block)]].astype(np.int32)
+    lists = {n: pa.ListArray.from_arrays(edges, pa.array(x, k)) for n, x, k in (("doc_id", doc, pa.int64()), ("fp", fp, pa.int64()), ("lo", lo, pa.int64()), ("size", size, pa.int32()))}
+    blobs = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
+    return pa.table({"block": pa.array(block[new], pa.int32())} | lists | {"body": blobs})
+
+
+def _turns(amount: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the entries, cut where WINDOWS of the amount are full."""
+    return np.split(np.arange(len(amount)), np.flatnonzero(np.diff(np.cumsum(amount) // WINDOWS)) + 1)
+
+
+def _words(rows: np.ndarray) -> np.ndarray:
+    """Strings of one length as rows of numbers in their order."""
+    n, length = rows.shape
+    out = np.zeros((n, -(-length // 8) * 8), np.uint8)
+    out[:, :length] = rows
+    return out.view(">u8").astype(np.uint64)
+
+
+def equal_strings(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, number of the group of equal ones): suffixes sorted by their first bytes only."""
+    words = _words(rows)
+    order = np.lexsort(words.T[::-1])
+    words = words[order]
+    return order, np.cumsum(np.r_[True, (words[1:] != words[:-1]).any(axis=1)]) - 1
+
+
+def _cut_surroundings(blocks: int, hot_blocks: int, length: int, gram: int):
+    """Blocks from `blocks` on are those of single strings."""
+    places = Places(length, gram)
+
+    def of_hot(text: np.ndarray, start: np.ndarray, doc: np.ndarray, fp: np.ndarray, lo: np.ndarray, strings: np.ndarray, done: int) -> Iterator[pa.Table]:
+        """Of places: their strings, for the smallest doc_id here that has each, which
+        settles the others."""
+        at = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
+        who = np.repeat(np.arange(len(start)), strings)
+        rows = np.lib.stride_tricks.sliding_window_view(text, length)[start[who] + at]
+        doc, fp, lo = doc[who], fp[who], lo[who] + at
+        key = np.zeros(len(rows), np.uint64)
+        for word in _words(rows).T:
+            key = _mix(key * U(31) + word + U(1))
+        order = np.lexsort((doc, key))
+        rows, doc, fp, lo, key = (x[order] for x in (rows, doc, fp, lo, key))
+        new = np.r_[True, key[1:] != key[:-1]]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        settled = (doc > doc[first]) & (rows == rows[first]).all(axis=1)
+        size = np.full(len(rows), length)
+        yield _bodies(np.full(int(settled.sum()), done), doc[settled], fp[settled], lo[settled], size[settled] * 0, np.empty(0, np.uint8))
+        block = blocks + (key % U(hot_blocks)).astype(np.int64)
+        go = np.flatnonzero(~settled)
+        go = go[np.argsort(block[go], kind="stable")]
+        yield _bodies(block[go], doc[go], fp[go], lo[go], size[go], rows[go])
 
     @tidy_groups
     def cut(key: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
-        doc, fp, pos, anchor = unpack_spans(spans.column("blob").to_pylist())
-        block, hot = (anchor ^ anchor >> 20) % blocks, anchor & 1 > 0
-        texts = Texts(docs)
-        out: dict[int, tuple[list, list, list, list]] = {}
-        windows: dict[bytes, list[tuple[int, int, int]]] = {}
-
-        def put(b: int, i: int, f: int, lo: int, body: bytes) -> None:
-            for held, x in zip(out.setdefault(b, ([], [], [], [])), (i, f, lo, body), strict=True):
-                held.append(x)
-
-        for (i, f), mine in _runs(doc, fp):
-            t = texts[texts.at[(i, f)][0]]
-            for b, p, many in zip(block[mine].tolist(), pos[mine].tolist(), hot[mine].tolist(), strict=True):
-                lo = max(0, p - reach)
-                if not many:
-                    put(b, i, f, lo, t[lo : p + gram + reach])
-                    continue
-                for at in range(lo, min(p, len(t) - length) + 1):
-                    windows.setdefault(t[at : at + length], []).append((i, f, at))
-        # A string of a hot minimizer goes on for the smallest doc_id here, which settles the others.
-        done = -1 - key[0].as_py()
-        for w, at in windows.items():
-            first = min(at)[0]
-            for i, f, lo in at:
-                put(*((zlib.crc32(w) % blocks, i, f, lo, w) if i == first else (done, i, f, lo, b"")))
-        cols = list(zip(*out.values(), strict=True)) or [(), (), (), ()]
-        kinds = [pa.list_(pa.int64())] * 3 + [pa.list_(pa.binary())]
-        return pa.table({"block": pa.array(list(out), pa.int32())} | {n: pa.array(x, k) for n, x, k in zip(("doc_id", "fp", "lo", "body"), cols, kinds, strict=True)})
+        kinds = spans.column("kind").to_numpy()
+        out = [_bodies(*[np.empty(0, np.int64)] * 5, np.empty(0, np.uint8))]
+        at = Texts(docs).at
+        binary = docs.column("text").cast(pa.large_binary()).combine_chunks()
+        ends = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1] if len(binary) else np.zeros(1, np.int64)
+        text = np.frombuffer(binary.buffers()[2], np.uint8) if len(binary) else np.empty(0, np.uint8)
+        for kind in (PLACE, HOT_PLACE):
+            doc, fp, place, anchor = unpack_spans(spans.column("blob").filter(pa.array(kinds == kind)).to_pylist())
+            if not len(doc):
+                continue
+            lo, end = places.spans(place)
+            start = lo.copy()
+            for who, mine in _runs(doc, fp):
+                start[mine] += ends[at[who][0]]
+            if kind == PLACE:
+                block, size = (anchor ^ anchor >> 20) % blocks, end - lo
+                order = np.argsort(block, kind="stable")
+                block, doc, fp, lo, size, start = (x[order] for x in (block, doc, fp, lo, size, start))
+                body = [text[np.repeat(start[m] - np.cumsum(size[m]) + size[m], size[m]) + np.arange(size[m].sum())] for m in _turns(size)]
+                out.append(_bodies(block, doc, fp, lo, size, np.concatenate(body)))
+                continue
+            strings = end - lo - length + 1
+            for mine in _turns(strings):
+                out += of_hot(text, start[mine], doc[mine], fp[mine], lo[mine], strings[mine], -1 - key[0].as_py())
+        return pa.concat_tables(out)
 
     return cut
 
 
-def _borders(parts: int, length: int):
+def _borders(parts: int, blocks: int, length: int):
     @tidy_group
     def borders(key: tuple, group: pa.Table) -> pa.Table:
-        ids, fps, los = (np.concatenate([x.values.to_numpy() for x in group.column(c)]) for c in ("doc_id", "fp", "lo"))
+        ids, fps, los, sizes = (np.concatenate([x.flatten().to_numpy() for x in group.column(c).chunks]) for c in ("doc_id", "fp", "lo", "size"))
         if key[0].as_py() < 0:  # strings that a part of the documents has settled
-            return _span_table(list(_by_part(ids, fps, los, los + length, parts, False)))
-        bodies = [b for x in group.column("body") for b in x.as_py()]
+            return _span_table(list(_by_part(ids, fps, los, los + length, parts, SPAN)))
+        text = b"".join(group.column("body").to_pylist())
+        if key[0].as_py() >= blocks:
+            order, same = equal_strings(np.frombuffer(text, np.uint8).reshape(-1, length))
+            ids, fps, los = (x[order] for x in (ids, fps, los))
+            least = np.minimum.reduceat(ids, np.flatnonzero(np.r_[True, same[1:] != same[:-1]]))
+            later = ids > least[same]
+            return _span_table(list(_by_part(ids[later], fps[later], los[later], los[later] + length, parts, SPAN)))
+        ends = np.cumsum(sizes).tolist()
+        bodies = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         out = [[np.empty(0, np.int64)] for _ in range(4)]
         for size, which, offset in repeat_groups(bodies, length):
             later = ids[which] > ids[which].min()
@@ -496,7 +582,7 @@ def _borders(parts: int, length: int):
                 for held, x in zip(out, (ids[w], fps[w], start, start + size), strict=True):
                     held.append(x)
         doc, fp, lo, hi = (np.concatenate(x) for x in out)
-        return _span_table(list(_by_part(doc, fp, lo, hi, parts, False)))
+        return _span_table(list(_by_part(doc, fp, lo, hi, parts, SPAN)))
 
     return borders
 
@@ -509,22 +595,28 @@ def _prime(n: int) -> int:
     return n
 
 
+def _crowd(total: int, hot: int) -> int:
+    """Different surroundings from which a minimizer is crowded in a chunk of `total` bytes."""
+    return int(max(1, min(CROWD, 4 * hot), 4 * hot * CHUNK * SPACING // max(total, CHUNK * SPACING)))
+
+
 def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> tuple[int, DataFrame]:
     """docs has doc_id, fp and text; result: (parts, SPANS): blobs of the byte spans whose
     strings also start in smaller doc_ids, of the documents with doc_id % parts = part."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(1 << 16, max(64, total // BUCKET_BYTES))
     parts = _prime(max(64, total // PART_BYTES))
-    crowd = int(max(1, 4 * hot * CHUNK * SPACING // max(total, CHUNK * SPACING)))
-    gathered = docs.select("doc_id", "fp", "text").mapInArrow(_gather(buckets, length, gram, crowd), "bucket int, hot boolean, blob binary")
+    gathered = docs.select("doc_id", "fp", "text").mapInArrow(_gather(buckets, length, gram, _crowd(total, hot)), "bucket int, hot boolean, blob binary")
     found = materialize(gathered.groupBy("bucket").applyInArrow(_meet(parts, length, gram, hot), SPANS), "repeat-places")
-    wanted = found.filter("open")
+    wanted = found.filter(F.col("kind") != SPAN)
     entry = 25  # bytes of a packed place
-    blocks = int(max(64, (wanted.agg(F.sum(F.octet_length("blob"))).first()[0] or 0) // (entry * BLOCK_SURROUNDINGS)))
+    places = {r.kind: r.n / entry for r in wanted.groupBy("kind").agg(F.sum(F.octet_length("blob")).alias("n")).collect()}
+    blocks = int(max(64, places.get(PLACE, 0) // BLOCK_SURROUNDINGS))
+    hot_blocks = int(max(64, places.get(HOT_PLACE, 0) * SPACING // WINDOWS))
     with_part = docs.select(_part(parts).alias("part"), "doc_id", "fp", "text").filter("text <> ''")
-    cut = with_part.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_cut_surroundings(blocks, length, gram), SURROUNDINGS)
-    fine = materialize(cut.groupBy("block").applyInArrow(_borders(parts, length), SPANS), "repeat-borders")
-    return parts, found.filter("not open").union(fine)
+    cut = with_part.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(_cut_surroundings(blocks, hot_blocks, length, gram), SURROUNDINGS)
+    fine = materialize(cut.groupBy("block").applyInArrow(_borders(parts, blocks, length), SPANS), "repeat-borders")
+    return parts, found.filter(F.col("kind") == SPAN).union(fine)
 
 
 def _part(parts: int):

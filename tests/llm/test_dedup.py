@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from silkpage.llm import near_dup as N
@@ -176,6 +177,30 @@ def test_hot_minimizers_are_split(spark):
         assert got == brute_spans(rows)
 
 
+def test_every_string_has_its_minimizer():
+    rng = np.random.default_rng(8)
+    for letters in (2, 20):
+        text = rng.integers(97, 97 + letters, 3_000).astype(np.uint8)
+        ends = np.repeat([1_300, 1_340, 3_000], [1_300, 40, 1_660])
+        hasher = D.Hasher()
+        hasher.load(text)
+        p, lo, strings = D.minimizers(hasher, text, ends, 50, 20)
+        owned = np.concatenate([np.arange(a, a + n) for a, n in zip(lo.tolist(), strings.tolist(), strict=True)])
+        at = np.arange(len(text))
+        assert (np.unique(owned) == at[ends - at >= 50]).all()
+        assert (lo <= p).all() and (p + 20 <= lo + 50).all() and (strings <= 31).all()
+        assert letters == 2 or len(owned) == len(np.unique(owned))
+
+
+def test_crowds_do_not_grow_with_the_input():
+    """A common minimizer is split the same way at 0.5, 6 and 30 GB, and repeats within one
+    document are no crowd: each hot occurrence is cut into its strings."""
+    assert min(D._crowd(n * 10**8, D.HOT) for n in (5, 60, 300, 10**5)) >= D.CROWD
+    line = "a line that one document has very often, word for word. "
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array([5, 6], pa.int64()), pa.array([line * 200, "other " + line])], ["doc_id", "fp", "text"])
+    assert not any(b.column("hot")[0].as_py() for b in D._gather(64, 50, 20, 20)(iter([batch])))
+
+
 def test_op6_edges(edge, nothing):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
     out = D.remove_repeats(edge, keep=["lang"]).collect()
