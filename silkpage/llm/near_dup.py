@@ -14,13 +14,15 @@
    components in a bucket are compared, on odd sketches in blocks of bounded size; of
    those each class first tests its closest member of every other component, and in the
    last round all that are left. A bucket with more than WIDE rows outside its largest
-   component is split by every other band of its rows, so that comparisons stay in
-   proportion to rows; what is wide even then is compared in blocks as it is.
+   component is split by shingles: of each row's set in the order of rarity among such
+   rows, the first ones, so many that two sets of the similarity asked share one of them.
+   So comparisons stay in proportion to rows and no pair is lost, whatever the size of a
+   bucket; what is wide even then is compared in blocks as it is.
 4. Candidates within the sketch limit are confirmed on the full shingle sets.
 
 Two sets of Jaccard similarity 0.8 share no band with probability (1 - 0.8^5)^40 =
-1.3e-7 and at most one, which a wide bucket asks two of, with 2.6e-6; they exceed the first
-sketch's limit with one under 1e-8; links between less similar sets are rejected exactly.
+1.3e-7; they exceed the first sketch's limit with one under 1e-8; links between less similar
+sets are rejected exactly.
 
 Defined cases: words are runs without white space, A-Z lower-cased; fewer words than a
 shingle give the whole sequence as one; null, empty and blank texts have no set and are
@@ -263,8 +265,8 @@ def _open_buckets(rows: DataFrame) -> DataFrame:
 
 
 def _split(rows: DataFrame, buckets: DataFrame, bands: DataFrame, wide: int) -> DataFrame:
-    """rows, those of wide buckets under keys of two bands: the bucket's and each other one
-    of the row. Two wide buckets make one key of both, not two."""
+    """rows, those of wide buckets under two keys: the bucket's and each of the row's in
+    `bands`. Two wide buckets make one key of both, not two."""
     is_wide = F.col("n_minor") > wide
     plain = rows.join(buckets.filter(~is_wide).select("key"), "key", "left_semi")
     crowded = rows.join(buckets.filter(is_wide).select("key"), "key").groupBy("node").agg(F.min("comp").alias("comp"), F.collect_list("key").alias("wide"))
@@ -274,6 +276,20 @@ def _split(rows: DataFrame, buckets: DataFrame, bands: DataFrame, wide: int) ->
     return plain.select("key", "node", "comp").union(both.select(F.xxhash64("first", "second").alias("key"), "node", "comp"))
 
 
+def _prefixes(sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """node, bands: the shingles of which two sets of these nodes share one if they reach the
+    similarity. Of m shingles they have percent * m / 100 or more in common; so, in any one
+    order of all shingles, the first that they share is among the others and the next one of
+    each. The rarest come first; those that only one set has are counted and left out."""
+    mine = sets.join(nodes, "node", "left_semi").withColumn("own", F.xxhash64("shingles")).dropDuplicates(["node", "own"])
+    each = mine.select("node", "own", F.size("shingles").alias("m"), F.explode("shingles").alias("s"))
+    shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = each.join(shared, "s").groupBy("node", "own", "m").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("found"))
+    first = F.expr(f"(100 - {percent}) * m div 100 + 1 - (m - size(found))").cast("int")
+    keys = found.withColumn("first", first).filter("first > 0").select("node", F.slice("found", 1, F.col("first")).getField("s").alias("keys"))
+    return keys.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("bands"))
+
+
 def _tasks(members: DataFrame, comps: DataFrame, spread: DataFrame, bands: DataFrame, wide: int) -> DataFrame:
     """The rows to compare, with their task (key, i, j) and its side.
 
@@ -342,8 +358,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id
     odd = hubs.join(small.toDF("a", "ka"), "a").join(small.toDF("b", "kb"), "b").filter(_sketch_distance("ka", "kb") <= SKETCH_LIMIT).select("a", "b")
     links = materialize(_confirm(odd, sets, percent), "links-hub")
     comps = materialize(components(links), "components")
+    large = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > wide)
+    prefixes = _prefixes(sets, members.join(large, "key", "left_semi").select("node").distinct(), percent)  # read where a bucket is wide
     for best_only in (True, False):
-        pairs = _across(members, comps, spread, classes.select("node", "bands"), best_only, percent, wide)
+        pairs = _across(members, comps, spread, prefixes, best_only, percent, wide)
         more = materialize(_confirm(pairs, sets, percent), "links-more")
         links = links.union(more)
         if not more.isEmpty():

@@ -62,6 +62,38 @@ def test_wide_buckets_are_split(spark, docs):
     assert got == sorted(brute_components(rows, 2))
 
 
+def test_wide_buckets_lose_no_pair_of_one_band(spark, monkeypatch):
+    """Rows that have one band key in common and no other: the links are the same whether
+    their bucket is split or not."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(25):
+        text = [f"w{rng.randrange(400)}" for _ in range(40)]
+        for _ in range(rng.randint(1, 3)):
+            rows.append((len(rows), " ".join(text)))
+            text[rng.randrange(40)] = f"v{rng.randrange(400)}"
+    rows += [(len(rows) + k, "the one with the most copies") for k in range(3)]
+    signer = N._signer
+
+    def one_band(shingle):
+        sign = signer(shingle)
+
+        def signed(batches):
+            for b in sign(batches):
+                ids = b.column("doc_id").to_pylist()
+                bands = pa.array([[7, *range(1000 + 100 * i, 1039 + 100 * i)] for i in ids], pa.list_(pa.int64()))
+                yield b.set_column(b.schema.get_field_index("bands"), "bands", bands)
+
+        return signed
+
+    monkeypatch.setattr(N, "_signer", one_band)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = sorted(brute_components(rows, 2))
+    assert len({c for _, _, c in want}) < len(rows) - 10
+    for wide in (0, 10**6):
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(df, shingle=2, wide=wide).collect()) == want
+
+
 @pytest.mark.parametrize("per_group", [1, 4])
 def test_compared_rows_of_one_band_key_grow_linearly(spark, per_group):
     """Unlinked classes that all share one band key; every per_group of them a second one."""
