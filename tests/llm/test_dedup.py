@@ -233,6 +233,18 @@ def test_crowds_do_not_grow_with_the_input():
     assert not any(b.column("hot")[0].as_py() for b in D._gather(64, 50, 20, 20)(iter([batch])))
 
 
+def test_pipeline_stage_at_6_gb_splits_only_what_is_common():
+    """A sentence that 40 documents of one chunk share goes through blocks, however large the
+    input of the stage is."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    sentence = " ".join(word() for _ in range(12))
+    texts = [" ".join([*(word() for _ in range(12)), sentence, *(word() for _ in range(12))]) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(range(40), pa.int64()), pa.array(texts)], ["doc_id", "fp", "text"])
+    for limit, hot in ((10, True), (D._crowd(6 * 10**9, D.HOT), False), (D._crowd(30 * 10**9, D.HOT), False)):
+        assert any(b.column("hot")[0].as_py() for b in D._gather(64, 50, 20, limit)(iter([batch]))) == hot
+
+
 def test_op6_edges(edge, nothing):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
     out = D.remove_repeats(edge, keep=["lang"]).collect()
