@@ -38,11 +38,11 @@ for each other; rows without doc_id are neither source nor cut; overlaps count.
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -245,45 +245,51 @@ def minimizers(hasher: Hasher, text: np.ndarray, ends: np.ndarray, length: int,
     return p, p - w + 1 + own.argmax(axis=1), own.sum(axis=1)
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The `width` low bytes of little-endian numbers, byte by byte: small numbers compress."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+#: What pack() gives: the smallest doc_id, the bytes of each column's numbers, the entries.
+PACKED = "base bigint, widths int, blob binary"
 
 
-def _from_planes(b: bytes, at: int, n: int, width: int) -> tuple[np.ndarray, int]:
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(b, np.uint8, n * width, at).reshape(width, n).T
-    return out.reshape(-1).view("<u8"), at + n * width
+def pack(cell: np.ndarray, doc: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """(first entry of each cell, its PACKED columns) of entries in the order of their cells.
 
-
-def _deltas(x: np.ndarray) -> np.ndarray:
-    d = np.diff(x.astype(np.int64), prepend=0)
-    return (d << 1 ^ d >> 63).view(np.uint64)
-
-
-def _undelta(z: np.ndarray) -> np.ndarray:
-    return np.cumsum((z >> U(1)).view(np.int64) ^ -(z & U(1)).view(np.int64))
-
-
-def pack(h, c, doc, fp, pos, settled) -> bytes:
-    """Hashes are kept only of what is not settled; settled places come last."""
-    order = np.lexsort((pos, doc, settled))
-    h, c, doc, fp, pos = (x[order] for x in (h, c, doc, fp, pos))
-    n = int(len(settled) - settled.sum())
-    return struct.pack("<2q", len(h), n) + _planes(h[:n], 6) + _planes(c[:n], 6) + _planes(_deltas(doc), 8) + _planes(fp, 4) + _planes(pos.astype(np.uint64), 5)
+    All cells are one buffer of records, cut by offsets: their number, which grows with the
+    square of the input, costs no Python call.
+    """
+    base = doc.min() if len(doc) else np.int64(0)
+    numbers = [np.ascontiguousarray(x).astype("<u8") for x in (doc - base, *columns)]
+    widths = [max(1, -(-int(x.max(initial=0)).bit_length() // 8)) for x in numbers]
+    rows = np.concatenate([x.view(np.uint8).reshape(-1, 8)[:, :w] for x, w in zip(numbers, widths, strict=True)], axis=1)
+    new = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.empty(0, np.int64)
+    ends = (np.r_[new, len(cell)] * sum(widths)).astype(np.int32)
+    blobs = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+    code = sum(w << 4 * k for k, w in enumerate(widths))
+    return new, {"base": pa.array(np.full(len(new), base), pa.int64()), "widths": pa.array(np.full(len(new), code), pa.int32()), "blob": blobs}
+
+
+def unpack(cells: pa.Table, columns: int) -> list[np.ndarray]:
+    """doc and the other columns of all entries, in the order of the cells' widths;
+    `columns` counts doc too."""
+    out = [[np.empty(0, np.int64)], *([np.empty(0, np.uint64)] for _ in range(columns - 1))]
+    codes = cells.column("widths").to_numpy()
+    for code in np.unique(codes).tolist():
+        mine = cells.filter(pa.array(codes == code))
+        widths = [code >> 4 * k & 15 for k in range(columns)]
+        blobs = mine.column("blob")
+        rows = np.frombuffer(b"".join(blobs.to_pylist()), np.uint8).reshape(-1, sum(widths))
+        edges = np.cumsum([0, *widths])
+        for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            x = np.zeros((len(rows), 8), np.uint8)
+            x[:, : b - a] = rows[:, a:b]
+            out[k].append(x.reshape(-1).view("<u8"))
+        sizes = pc.binary_length(blobs).to_numpy() // sum(widths)
+        out[0][-1] = out[0][-1].view(np.int64) + np.repeat(mine.column("base").to_numpy(), sizes)
+    return [np.concatenate(x) for x in out]
 
 
-def unpack(b: bytes) -> list[np.ndarray]:
-    """h, c, doc, fp, pos and whether it is settled (h and c are 0 then)."""
-    (total, n), at = struct.unpack_from("<2q", b), 16
-    out = []
-    for width in (6, 6):
-        x, at = _from_planes(b, at, n, width)
-        out.append(np.r_[x, np.zeros(total - n, np.uint64)])
-    for width in (8, 4, 5):
-        x, at = _from_planes(b, at, total, width)
-        out.append(x)
-    return [out[0], out[1], _undelta(out[2]), out[3], out[4].astype(np.int64), np.arange(total) >= n]
+def _entries():
+    """Number of entries in a blob of PACKED."""
+    widths = [F.shiftright("widths", 4 * k).bitwiseAND(F.lit(15)) for k in range(7)]
+    return F.octet_length("blob") / sum(widths[1:], widths[0])
 
 
 def settle(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -335,21 +341,23 @@ def _gather(buckets: int, length: int, gram: int, crowd: int):
 
         def chunk() -> Iterator[pa.RecordBatch]:
             h, c, doc, fp, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            order, same, settled = settle(h & MASK48, c, doc)
             bucket = (h >> U(48)).astype(np.int64) * buckets >> 16
-            bucket, h, c, doc, fp, pos = (x[order] for x in (bucket, h & MASK48, c, doc, fp, pos))
-            new = np.r_[True, h[1:] != h[:-1]]
+            h &= MASK48
+            order, same, later = settle(h, c, doc)
+            new = np.r_[True, h[order][1:] != h[order][:-1]]
             run = np.cumsum(new) - 1
-            crowded = ~settled & (np.bincount(run, np.r_[True, same[1:] != same[:-1]])[run] > crowd)
-            dealt = crowded & ~new
+            many = ~later & (np.bincount(run, np.r_[True, same[1:] != same[:-1]])[run] > crowd)
+            settled, crowded = np.empty_like(later), np.empty_like(many)
+            settled[order], crowded[order] = later, many
+            dealt = order[many & ~new]
             bucket[dealt] = buckets + ((c[dealt] >> U(32)).astype(np.int64) * buckets >> 16)
-            for hot in (False, True):
-                some = np.flatnonzero(crowded == hot)
-                some = some[np.argsort(bucket[some], kind="stable")]
-                numbers, begin = np.unique(bucket[some], return_index=True)
-                for b, mine in zip(numbers.tolist(), np.split(some, begin[1:]), strict=False):
-                    blob = pack(*(x[mine] for x in (h, c, doc, fp, pos, settled)))
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([hot]), pa.array([blob], pa.binary())], ["bucket", "hot", "blob"])
+            for some, hot, done in ((settled, False, True), (~settled & ~crowded, False, False), (crowded, True, False)):
+                mine = np.flatnonzero(some)
+                mine = mine[np.argsort(bucket[mine], kind="stable")]
+                if len(mine):
+                    first, packed = pack(bucket[mine], *(x[mine] for x in ((doc, fp, pos) if done else (doc, fp, pos, h, c))))
+                    cells = {"bucket": pa.array(bucket[mine][first], pa.int32()), "hot": pa.array(np.full(len(first), hot)), "settled": pa.array(np.full(len(first), done))}
+                    yield pa.RecordBatch.from_pydict(cells | packed)
 
         for ids, fps, texts in _batches(batches, STEP):
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -376,38 +384,19 @@ def _gather(buckets: int, length: int, gram: int, crowd: int):
 
 #: Spans that are settled, places whose surroundings go to a block, and hot ones.
 SPAN, PLACE, HOT_PLACE = range(3)
-SPANS = "part int, kind int, blob binary"
+SPANS = f"part int, kind int, {PACKED}"
 
 
-def pack_spans(doc: np.ndarray, fp: np.ndarray, lo: np.ndarray, more: np.ndarray) -> bytes:
-    """more: the end of a span, or the number of its minimizer."""
-    order = np.lexsort((lo, doc))
-    doc, fp, lo, more = doc[order], fp[order].astype(np.uint64), lo[order].astype(np.uint64), more[order].view(np.uint64)
-    return struct.pack("<q", len(doc)) + _planes(_deltas(doc), 8) + _planes(fp, 4) + _planes(lo, 5) + _planes(more, 8)
-
-
-def unpack_spans(blobs: list[bytes]) -> list[np.ndarray]:
-    out = [[np.empty(0, np.int64)] for _ in range(4)]
-    for b in blobs:
-        (n,), at = struct.unpack_from("<q", b), 8
-        for k, width in enumerate((8, 4, 5, 8)):
-            x, at = _from_planes(b, at, n, width)
-            out[k].append(x.view(np.int64) if k else _undelta(x))
-    return [np.concatenate(x) for x in out]
-
-
-def _by_part(doc, fp, lo, more, parts: int, kind: int) -> Iterator[tuple[int, int, bytes]]:
+def _by_part(doc, fp, lo, more, parts: int, kind: int) -> pa.Table:
+    """SPANS; more: the bytes of a span, or the number of its minimizer."""
     part = doc % parts
     order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    for k in np.flatnonzero(np.diff(edges)).tolist():
-        mine = order[edges[k] : edges[k + 1]]
-        yield k, kind, pack_spans(doc[mine], fp[mine], lo[mine], more[mine])
+    first, packed = pack(part[order], *(x[order] for x in (doc, fp, lo, more)))
+    return pa.table({"part": pa.array(part[order][first], pa.int32()), "kind": pa.array(np.full(len(first), kind), pa.int32())} | packed)
 
 
-def _span_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    part, kind, blob = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"part": pa.array(part, pa.int32()), "kind": pa.array(kind, pa.int32()), "blob": pa.array(blob, pa.binary())})
+def unpack_spans(spans: pa.Table) -> list[np.ndarray]:
+    return [x.view(np.int64) for x in unpack(spans, 4)]
 
 
 def _meet(parts: int, length: int, gram: int, most: int):
@@ -416,16 +405,16 @@ def _meet(parts: int, length: int, gram: int, most: int):
     @tidy_group
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         """Of one bucket: spans settled as repeats, and open places that need their bytes."""
-        unpacked = [unpack(b.as_py()) for b in group.column("blob")]
-        crowded = [x[0][~x[5]] for x, hot in zip(unpacked, group.column("hot").to_pylist(), strict=True) if hot]
-        crowded = np.unique(np.concatenate([np.empty(0, np.uint64), *crowded]))
-        h, c, doc, fp, pos, done = (np.concatenate(x) for x in zip(*unpacked, strict=True))
-        early = doc[done], fp[done], pos[done]
-        h, c, doc, fp, pos = (x[~done] for x in (h, c, doc, fp, pos))
+        done, hot = (group.column(n).to_numpy() for n in ("settled", "hot"))
+        early = unpack(group.filter(pa.array(done)), 3)
+        crowded = unpack(group.filter(pa.array(hot)), 5)
+        doc, fp, pos, h, c = (np.concatenate(x) for x in zip(crowded, unpack(group.filter(pa.array(~done & ~hot)), 5), strict=True))
+        crowded = np.unique(crowded[3])
         order, same, settled = settle(h, c, doc)
         h, doc, fp, pos = (x[order] for x in (h, doc, fp, pos))
         d, f, p = (np.concatenate([x, y[settled]]) for x, y in zip(early, (doc, fp, pos), strict=True))
-        rows = list(_by_part(d, f, *places.spans(p), parts, SPAN))
+        lo, hi = places.spans(p.view(np.int64))
+        out = [_by_part(d, f, lo, hi - lo, parts, SPAN)]
         h, doc, fp, pos, same = (x[~settled] for x in (h, doc, fp, pos, same))
         if len(h):
             begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
@@ -436,9 +425,9 @@ def _meet(parts: int, length: int, gram: int, most: int):
             hot = np.repeat(several & (distinct > most), size) | many
             cool = np.repeat(several, size) & ~hot
             anchor = (h[cool] | U(key[0].as_py()) << U(48)).view(np.int64)
-            rows += _by_part(doc[cool], fp[cool], pos[cool], anchor, parts, PLACE)
-            rows += _by_part(doc[hot], fp[hot], pos[hot], np.zeros(int(hot.sum()), np.int64), parts, HOT_PLACE)
-        return _span_table(rows)
+            out.append(_by_part(doc[cool], fp[cool], pos[cool], anchor, parts, PLACE))
+            out.append(_by_part(doc[hot], fp[hot], pos[hot], np.zeros(int(hot.sum()), np.int64), parts, HOT_PLACE))
+        return pa.concat_tables(out)
 
     return meet
 
@@ -459,7 +448,7 @@ class Texts:
         return self.texts[k].as_py()
 
 
-SURROUNDINGS = "block int, doc_id array<bigint>, fp array<bigint>, lo array<bigint>, size array<int>, body binary"
+SURROUNDINGS = f"block int, {PACKED}, body binary"
 
 
 def _runs(doc: np.ndarray, fp: np.ndarray) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
@@ -473,12 +462,10 @@ def _runs(doc: np.ndarray, fp: np.ndarray) -> Iterator[tuple[tuple[int, int], np
 
 def _bodies(block: np.ndarray, doc: np.ndarray, fp: np.ndarray, lo: np.ndarray, size: np.ndarray, body: np.ndarray) -> pa.Table:
     """SURROUNDINGS of strings in the order of their blocks; body: their bytes in a row."""
-    new = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.empty(0, np.int64)
-    edges = pa.array(np.r_[new, len(block)], pa.int32())
+    new, packed = pack(block, doc, fp, lo, size)
     ends = np.r_[0, np.cumsum(size)][np.r_[new, len(block)]].astype(np.int32)
-    lists = {n: pa.ListArray.from_arrays(edges, pa.array(x, k)) for n, x, k in (("doc_id", doc, pa.int64()), ("fp", fp, pa.int64()), ("lo", lo, pa.int64()), ("size", size, pa.int32()))}
-    blobs = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
-    return pa.table({"block": pa.array(block[new], pa.int32())} | lists | {"body": blobs})
+    bodies = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))])
+    return pa.table({"block": pa.array(block[new], pa.int32())} | packed | {"body": bodies})
 
 
 def _turns(amount: np.ndarray) -> list[np.ndarray]:
@@ -537,7 +524,7 @@ def _cut_surroundings(blocks: int, hot_blocks: int, length: int, gram: int):
         ends = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1] if len(binary) else np.zeros(1, np.int64)
         text = np.frombuffer(binary.buffers()[2], np.uint8) if len(binary) else np.empty(0, np.uint8)
         for kind in (PLACE, HOT_PLACE):
-            doc, fp, place, anchor = unpack_spans(spans.column("blob").filter(pa.array(kinds == kind)).to_pylist())
+            doc, fp, place, anchor = unpack_spans(spans.filter(pa.array(kinds == kind)))
             if not len(doc):
                 continue
             lo, end = places.spans(place)
@@ -562,27 +549,27 @@ def _cut_surroundings(blocks: int, hot_blocks: int, length: int, gram: int):
 def _borders(parts: int, blocks: int, length: int):
     @tidy_group
     def borders(key: tuple, group: pa.Table) -> pa.Table:
-        ids, fps, los, sizes = (np.concatenate([x.flatten().to_numpy() for x in group.column(c).chunks]) for c in ("doc_id", "fp", "lo", "size"))
+        group = group.take(np.argsort(group.column("widths").to_numpy(), kind="stable"))  # bodies in the order of the entries
+        ids, fps, los, sizes = unpack_spans(group)
         if key[0].as_py() < 0:  # strings that a part of the documents has settled
-            return _span_table(list(_by_part(ids, fps, los, los + length, parts, SPAN)))
+            return _by_part(ids, fps, los, np.full(len(ids), length), parts, SPAN)
         text = b"".join(group.column("body").to_pylist())
         if key[0].as_py() >= blocks:
             order, same = equal_strings(np.frombuffer(text, np.uint8).reshape(-1, length))
             ids, fps, los = (x[order] for x in (ids, fps, los))
             least = np.minimum.reduceat(ids, np.flatnonzero(np.r_[True, same[1:] != same[:-1]]))
             later = ids > least[same]
-            return _span_table(list(_by_part(ids[later], fps[later], los[later], los[later] + length, parts, SPAN)))
+            return _by_part(ids[later], fps[later], los[later], np.full(int(later.sum()), length), parts, SPAN)
         ends = np.cumsum(sizes).tolist()
         bodies = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         out = [[np.empty(0, np.int64)] for _ in range(4)]
         for size, which, offset in repeat_groups(bodies, length):
             later = ids[which] > ids[which].min()
             if later.any():
-                w, start = which[later], los[which[later]] + offset[later]
-                for held, x in zip(out, (ids[w], fps[w], start, start + size), strict=True):
+                w = which[later]
+                for held, x in zip(out, (ids[w], fps[w], los[w] + offset[later], np.full(len(w), size)), strict=True):
                     held.append(x)
-        doc, fp, lo, hi = (np.concatenate(x) for x in out)
-        return _span_table(list(_by_part(doc, fp, lo, hi, parts, SPAN)))
+        return _by_part(*(np.concatenate(x) for x in out), parts, SPAN)
 
     return borders
 
@@ -606,11 +593,10 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(1 << 16, max(64, total // BUCKET_BYTES))
     parts = _prime(max(64, total // PART_BYTES))
-    gathered = docs.select("doc_id", "fp", "text").mapInArrow(_gather(buckets, length, gram, _crowd(total, hot)), "bucket int, hot boolean, blob binary")
+    gathered = docs.select("doc_id", "fp", "text").mapInArrow(_gather(buckets, length, gram, _crowd(total, hot)), f"bucket int, hot boolean, settled boolean, {PACKED}")
     found = materialize(gathered.groupBy("bucket").applyInArrow(_meet(parts, length, gram, hot), SPANS), "repeat-places")
     wanted = found.filter(F.col("kind") != SPAN)
-    entry = 25  # bytes of a packed place
-    places = {r.kind: r.n / entry for r in wanted.groupBy("kind").agg(F.sum(F.octet_length("blob")).alias("n")).collect()}
+    places = {r.kind: r.n for r in wanted.groupBy("kind").agg(F.sum(_entries()).alias("n")).collect()}
     blocks = int(max(64, places.get(PLACE, 0) // BLOCK_SURROUNDINGS))
     hot_blocks = int(max(64, places.get(HOT_PLACE, 0) * SPACING // WINDOWS))
     with_part = docs.select(_part(parts).alias("part"), "doc_id", "fp", "text").filter("text <> ''")
@@ -635,7 +621,8 @@ def merge_spans(lo: np.ndarray, hi: np.ndarray, size: int) -> np.ndarray:
 def _remover(kept_columns: list[str] | None):
     @tidy_groups
     def remove(key: tuple, docs: pa.Table, spans: pa.Table) -> pa.Table:
-        doc, fp, lo, hi = unpack_spans(spans.column("blob").to_pylist())
+        doc, fp, lo, size = unpack_spans(spans)
+        hi = lo + size
         texts = Texts(docs)
         cut = {k: merge_spans(lo[m], hi[m], len(texts[i])).tolist() for key, m in _runs(doc, fp) for i in texts.at[key][:1] for k in texts.at[key]}
         out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}

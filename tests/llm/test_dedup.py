@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -245,6 +246,54 @@ def test_pipeline_stage_at_6_gb_splits_only_what_is_common():
         assert any(b.column("hot")[0].as_py() for b in D._gather(64, 50, 20, limit)(iter([batch]))) == hot
 
 
+def test_cost_of_a_stage_does_not_grow_with_buckets_and_parts():
+    """Chunks times buckets and buckets times parts grow with the square of the input: neither
+    may cost a Python call each."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    shared = [" ".join(word() for _ in range(12)) for _ in range(30)]
+    texts = [" ".join(x for _ in range(12) for x in (word(), rng.choice(shared))) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(range(300), pa.int64()), pa.array(texts)], ["doc_id", "fp", "text"])
+
+    def calls(f):
+        n = 0
+
+        def count(frame, event, arg):
+            nonlocal n
+            n += event == "call"
+
+        sys.setprofile(count)
+        try:
+            out = f()
+        finally:
+            sys.setprofile(None)
+        return n, out
+
+    few, _ = calls(lambda: list(D._gather(64, 50, 20, 64)(iter([batch]))))
+    many, out = calls(lambda: list(D._gather(4_000, 50, 20, 64)(iter([batch]))))
+    assert sum(b.num_rows for b in out) > 2_000 and many < 1.2 * few
+    group = pa.Table.from_batches(D._gather(1, 50, 20, 64)(iter([batch])))
+    meet = lambda parts: D._meet(parts, 50, 20, D.HOT)((pa.scalar(0, pa.int32()),), group)
+    few, _ = calls(lambda: meet(7))
+    many, out = calls(lambda: meet(5_003))
+    assert out.num_rows > 400 and many < 1.2 * few
+
+
+def test_packed_cells():
+    rng = np.random.default_rng(15)
+    for docs in ((0, 1), (-(2**63), 2**63 - 1), (5, 5 + 2**20)):
+        cells = np.sort(rng.integers(0, 9, 200))
+        doc = rng.integers(*docs, 200, endpoint=True)
+        others = [rng.integers(0, 2**bits, 200, dtype=np.uint64) for bits in (32, 1, 63)]
+        first, packed = D.pack(cells, doc, *others)
+        small = D.pack(np.zeros(1, np.int64), np.array([3]), *np.zeros((3, 1), np.uint64))[1]
+        both = pa.concat_tables([pa.table(packed), pa.table(small)])
+        got = D.unpack(both, 4)
+        assert len(first) == len(np.unique(cells))
+        for x, y, extra in zip(got, (doc, *others), (3, 0, 0, 0), strict=True):
+            assert (x == np.r_[np.array([extra], x.dtype), y.astype(x.dtype)]).all()
+
+
 def test_op6_edges(edge, nothing):
     rows = [(r.doc_id, r.text) for r in edge.collect()]
     out = D.remove_repeats(edge, keep=["lang"]).collect()
